@@ -1,9 +1,13 @@
 """The queries of the operators of this subpackage, by name."""
 
+from .bpe import op2_bpe
+from .chat import OP1_SQL, op1_chat
 from .mixing import op5_mixing
 
 QUERIES = {
+    "op1_chat": op1_chat,
+    "op2_bpe": op2_bpe,
     "op5_mixing": op5_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
