@@ -2,12 +2,18 @@
 
 from .bpe import op2_bpe
 from .chat import OP1_SQL, op1_chat
+from .licenses import op4_licenses
+from .linedup import op6_linedup
+from .minhash import op3_minhash
 from .mixing import op5_mixing
 
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_bpe": op2_bpe,
+    "op3_minhash": op3_minhash,
+    "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
+    "op6_linedup": op6_linedup,
 }
 
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
