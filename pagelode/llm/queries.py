@@ -2,10 +2,12 @@
 
 from .bpe import op2_bpe
 from .chat import OP1_SQL, op1_chat
+from .embdedup import op8_embdedup
 from .licenses import op4_licenses
 from .linedup import op6_linedup
 from .minhash import op3_minhash
 from .mixing import op5_mixing
+from .topk import OP7_SQL, op7_topk
 
 QUERIES = {
     "op1_chat": op1_chat,
@@ -14,6 +16,8 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
     "op6_linedup": op6_linedup,
+    "op7_topk": op7_topk,
+    "op8_embdedup": op8_embdedup,
 }
 
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op7_topk": OP7_SQL}
