@@ -3,6 +3,7 @@
 from .bpe import op2_bpe
 from .chat import OP1_SQL, op1_chat
 from .embdedup import op8_embdedup
+from .langid import op9_langid
 from .licenses import op4_licenses
 from .linedup import op6_linedup
 from .minhash import op3_minhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_linedup": op6_linedup,
     "op7_topk": op7_topk,
     "op8_embdedup": op8_embdedup,
+    "op9_langid": op9_langid,
 }
 
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op7_topk": OP7_SQL}
