@@ -75,3 +75,18 @@ _WORD_BYTES = bytes(32 if b == 0x20 or 0x09 <= b <= 0x0D else b + 32 if 65 <= b
 def words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z lower-cased, as UTF-8."""
     return [w for w in text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split(b" ") if w]
+
+
+def frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of counts with the largest n, at most ``most``: all from a certain n up.
+
+    The bound comes from a histogram of at most some 1,300 bars (exact to 256, then a 16th of a power of 2), so no
+    task sends its own ``most`` rows to the driver, and equal counts are kept or left together."""
+    bar = F.when(F.col(n) < 256, F.col(n)).otherwise(F.floor(F.log2(n) * 16) + 128).cast("bigint")
+    room, least = most, 0
+    for r in sorted(counts.groupBy(bar.alias("bar")).count().collect(), key=lambda r: -r["bar"]):
+        room -= r["count"]
+        if room < 0:
+            least = r["bar"] + 1
+            break
+    return counts.where(bar >= least)

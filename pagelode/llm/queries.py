@@ -3,6 +3,7 @@
 from .bpe import op2_bpe
 from .chat import OP1_SQL, op1_chat
 from .embdedup import op8_embdedup
+from .hmm import op10_hmm
 from .langid import op9_langid
 from .licenses import op4_licenses
 from .linedup import op6_linedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_topk": op7_topk,
     "op8_embdedup": op8_embdedup,
     "op9_langid": op9_langid,
+    "op10_hmm": op10_hmm,
 }
 
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op7_topk": OP7_SQL}
