@@ -61,9 +61,9 @@ class Model:
         self.texts, self.tokens, self.distinct = texts, tokens, distinct
         seen = np.array([*self.counts, *[rest.get(k, 0) for k in range(CLASSES)], texts], np.float64) + SMOOTH
         draw = np.random.default_rng(seed)
-        emit = seen[:, None] * draw.uniform(0.5, 1.5, (len(seen), states))
+        emit = seen[:, None] * draw.exponential(1.0, (len(seen), states))
         self.emit = (emit / emit.sum(0)).astype(np.float32)
-        move = draw.uniform(0.5, 1.5, (states, states)) + np.eye(states)
+        move = draw.uniform(0.5, 1.5, (states, states)) + 12 * np.eye(states)  # states that last find languages and styles
         self.move = (move / move.sum(1, keepdims=True)).astype(np.float32)
         self.start = np.full(states, 1 / states, np.float32)
 
