@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, table, texts
+from .common import checkpointed, frequent, sliced, table, texts
 
 #: Most frequent chunks of the corpus whose words the lexicon holds.
 LEXICON_CHUNKS = 1 << 16
@@ -24,6 +24,10 @@ LEXICON_CHUNKS = 1 << 16
 LEXICON_WORD = 64
 #: Chunks that a task remembers the ids of before it forgets all.
 REMEMBERED = 400_000
+#: Characters of these chunks, at most, before a text.
+REMEMBERED_CHARS = 1 << 24
+#: Longest word, in bytes, that is merged side by side with others.
+SHORT = 64
 
 _COUNTS = pa.schema([("chunk", pa.string()), ("n", pa.int64())])
 
@@ -111,10 +115,12 @@ class Lexicon:
         head = np.frombuffer(buffer, np.int32, 8)
         self.root, at, arrays = int(head[0]), 32, []
         for n in head[1:7]:
-            arrays.append(memoryview(buffer)[at : at + 4 * int(n)].cast("i"))
+            arrays.append(np.frombuffer(buffer, np.int32, int(n), at))
             at += 4 * int(n)
-        self.first, self.byte, self.target, self.skip, self.starts, self.ids = arrays
-        self.final = memoryview(buffer)[at : at + int(head[7])]
+        self.first, byte, self.target, self.skip, self.starts, self.ids = arrays
+        self.final = np.frombuffer(buffer, np.uint8, int(head[7]), at)
+        # Arcs are sorted by state and byte, so one search finds an arc.
+        self.arc = np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first)) * 256 + byte
 
     @classmethod
     def mapped(cls, buffer: bytes) -> Lexicon:
@@ -124,23 +130,24 @@ class Lexicon:
             f.flush()
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def get(self, word: bytes) -> list[int] | None:
-        state, number, first, byte = self.root, 0, self.first, self.byte
-        for b in word:
-            low, high = first[state], first[state + 1]
-            while low < high:
-                mid = (low + high) >> 1
-                if byte[mid] < b:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == first[state + 1] or byte[low] != b:
-                return None
-            number += self.skip[low]
-            state = self.target[low]
-        if not self.final[state]:
-            return None
-        return list(self.ids[self.starts[number] : self.starts[number + 1]])
+    def get(self, words: list[bytes]) -> list[list[int] | None]:
+        """Each word's ids, or None; the words walk side by side."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        at = np.cumsum(sizes) - sizes
+        state, number = np.full(len(words), self.root), np.zeros(len(words), np.int64)
+        walking = np.arange(len(words))
+        for k in range(int(sizes.max(initial=0)) if len(self.arc) else 0):
+            walking = walking[sizes[walking] > k]
+            due = state[walking] * 256 + flat[at[walking] + k]
+            arc = np.minimum(np.searchsorted(self.arc, due), len(self.arc) - 1)
+            there = self.arc[arc] == due
+            state[walking[~there]] = -1
+            walking, arc = walking[there], arc[there]
+            number[walking] += self.skip[arc]
+            state[walking] = self.target[arc]
+        known = (state >= 0) & (self.final[np.maximum(state, 0)] > 0) if len(self.final) else np.zeros(len(words), bool)
+        return [self.ids[self.starts[n] : self.starts[n + 1]].tolist() if k else None for k, n in zip(known, number)]
 
 
 class Bpe:
@@ -161,7 +168,13 @@ class Bpe:
         model = parsed["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
+        # A pair of ids is one integer; its rank says which merge it is, and that its new id.
+        merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        self.wide = len(self.vocab) + 1
+        self.ranks = {self.vocab[a] * self.wide + self.vocab[b]: k for k, (a, b) in reversed(list(enumerate(merges)))}
+        self.merged = [self.vocab[a + b] for a, b in merges]
+        self.pair = np.array(sorted(self.ranks), np.int64)
+        self.pair_rank = np.array([self.ranks[p] for p in self.pair.tolist()], np.int32)
         self.added = {x["content"]: x["id"] for x in parsed["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
@@ -169,39 +182,107 @@ class Bpe:
         self.letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
         self.lexicon = Lexicon.mapped(lexicon) if lexicon else None
+        self.inner = [self.vocab[c] for c in self.letters]
+        self.last = [self.vocab[c + self.end] for c in self.letters]
         self.chunks: dict[str, tuple[str, str, int]] = {}
-        self.asked = self.found = 0
+        self.words: dict[bytes, tuple[str, str, int]] = {}
+        self.held = 0
+
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """The words' ids by their merges, lowest rank first and leftmost among equals."""
+        out: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        while order and len(words[order[-1]]) > SHORT:
+            k = order.pop()
+            out[k] = self._merge_long(words[k])
+        for at in range(0, len(order), 8192):
+            some = order[at : at + 8192]
+            for k, ids in zip(some, self._merge_short([words[k] for k in some])):
+                out[k] = ids
+        return out
 
-    def merge(self, word: bytes) -> list[int]:
-        """The ids of a word by its merges, lowest rank first and leftmost among equals, through a heap."""
-        parts: list[str | None] = [self.letters[b] for b in word]
-        parts[-1] += self.end
-        n = len(parts)
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of pairs of ids; none, where there is no such merge, or no right part (-1)."""
+        key = left.astype(np.int64) * self.wide + right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where((self.pair[at] == key) & (right >= 0), self.pair_rank[at], len(self.merged)).astype(np.int32)
+
+    def _merge_short(self, words: list[bytes]) -> list[list[int]]:
+        """Words of like length side by side, one merge of each at a time."""
+        sizes = np.array([len(w) for w in words])
+        wide = int(sizes.max())
+        parts = np.full((len(words), wide + 1), -1, np.int32)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        row = np.repeat(np.arange(len(words)), sizes)
+        parts[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.array(self.inner, np.int32)[flat]
+        parts[np.arange(len(words)), sizes - 1] = np.array(self.last, np.int32)[flat[np.cumsum(sizes) - 1]]
+        merged, none = np.array([*self.merged, -1], np.int32), len(self.merged)
+        ranks = self._ranks(parts[:, :-1], parts[:, 1:])
+        active, column = np.arange(len(words)), np.arange(wide)
+        while len(active):
+            at = ranks[active].argmin(1)
+            least = ranks[active, at]
+            going = least < none
+            active, at, least = active[going], at[going], least[going]
+            if not len(active):
+                break
+            # What stands right of the merged pair moves one place to the left.
+            moved = column[None, :] + (column[None, :] > at[:, None])
+            own = parts[active]
+            own[:, :-1] = np.take_along_axis(own, moved, 1)
+            own[:, -1] = -1
+            line = np.arange(len(active))
+            own[line, at] = merged[least]
+            parts[active] = own
+            rank = np.concatenate([ranks[active], np.full((len(active), 1), none, np.int32)], 1)
+            rank = np.take_along_axis(rank, moved, 1)
+            rank[line, at] = self._ranks(own[line, at], own[line, at + 1])
+            back = at > 0
+            rank[line[back], at[back] - 1] = self._ranks(own[line[back], at[back] - 1], own[line[back], at[back]])
+            ranks[active] = rank
+        return [[p for p in r if p >= 0] for r in parts.tolist()]
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same for one word, through a heap, in n log n steps."""
+        parts = [self.inner[b] for b in word]
+        parts[-1] = self.last[word[-1]]
+        rank, wide, n = self.ranks.get, self.wide, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = self.ranks.get
-        heap = [(r, k, parts[k], parts[k + 1]) for k in range(n - 1) if (r := rank((parts[k], parts[k + 1]))) is not None]
+        heap = [(r, k, parts[k], parts[k + 1]) for k in range(n - 1) if (r := rank(parts[k] * wide + parts[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b = heapq.heappop(heap)
+            r, k, a, b = heapq.heappop(heap)
             j = after[k]
             if parts[k] != a or j >= n or parts[j] != b:
                 continue
-            parts[k], parts[j] = a + b, None
+            parts[k], parts[j] = self.merged[r], -1
             after[k] = j = after[j]
             if j < n:
                 before[j] = k
-                if (r := rank((parts[k], parts[j]))) is not None:
+                if (r := rank(parts[k] * wide + parts[j])) is not None:
                     heapq.heappush(heap, (r, k, parts[k], parts[j]))
-            if (i := before[k]) >= 0 and (r := rank((parts[i], parts[k]))) is not None:
+            if (i := before[k]) >= 0 and (r := rank(parts[i] * wide + parts[k])) is not None:
                 heapq.heappush(heap, (r, i, parts[i], parts[k]))
-        return [self.vocab[p] for p in parts if p is not None]
-
-    def word(self, word: bytes) -> list[int]:
-        self.asked += 1
-        if self.lexicon and len(word) <= LEXICON_WORD and (ids := self.lexicon.get(word)) is not None:
-            self.found += 1
-            return ids
-        return self.merge(word)
+        return [p for p in parts if p >= 0]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Makes the words known: by the lexicon if it has them, else by merging."""
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
+        ids = self.lexicon.get(new) if self.lexicon else [None] * len(new)
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(rest, self.merge([new[k] for k in rest])):
+            ids[k] = x
+        for w, x in zip(new, ids):
+            self.words[w] = self.known(x)
+
+    def joined(self, words: list[bytes]) -> tuple[str, str, int]:
+        """Of words that are known."""
+        if len(words) == 1:
+            return self.words[words[0]]
+        found = [self.words[w] for w in words]
+        return " ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum([x[2] for x in found])
 
     def plain_words(self, chunk: str) -> list[bytes]:
         """Of a lower-cased chunk of a plain text."""
@@ -214,36 +295,51 @@ class Bpe:
     def known(self, ids: list[int]) -> tuple[str, str, int]:
         return " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)), len(ids)
 
-    def encode(self, text: str) -> tuple[str, str, int]:
-        """(decimal ids, token texts, how many), both joined by one space."""
-        out: list[tuple[str, str, int]] = []
-        pieces = self.split_added.split(text) if self.split_added else [text]
-        for k, piece in enumerate(pieces):
-            if k % 2:
-                out.append(self.known([self.added[piece]]))
-            elif piece:
-                if self._PLAIN.search(piece):
-                    out.append(self.known([i for w in self.other_words(piece) for i in self.word(w)]))
+    def encode(self, texts: list[str]) -> list[tuple[str, str, int]]:
+        """(decimal ids, token texts, how many) of each text, both joined by one space."""
+        pieces: list[list] = []  # of each text: known parts, lists of chunks, lists of words
+        chunks, words = set(), set()
+        for text in texts:
+            own: list = []
+            for k, piece in enumerate(self.split_added.split(text) if self.split_added else [text]):
+                if k % 2:
+                    own.append(self.known([self.added[piece]]))
+                elif not piece:
+                    continue
+                elif self._PLAIN.search(piece):
+                    own.append(("words", w := self.other_words(piece)))
+                    words.update(w)
                 else:
-                    out.extend(self.plain(piece.lower().split()))
-        out = [x for x in out if x[2]]
-        return " ".join([x[0] for x in out]), " ".join([x[1] for x in out]), sum([x[2] for x in out])
-
-    def plain(self, chunks: list[str]) -> list[tuple[str, str, int]]:
+                    own.append(("chunks", c := piece.lower().split()))
+                    chunks.update(c)
+            pieces.append(own)
         have = self.chunks
-        try:
-            return [have[c] for c in chunks]
-        except KeyError:
-            pass
-        if len(have) > REMEMBERED:
+        if len(have) > REMEMBERED or self.held > REMEMBERED_CHARS:
             have.clear()
+            self.held = 0
+        new = {c: self.plain_words(c) for c in chunks.difference(have)}
+        for w in new.values():
+            words.update(w)
+        self.learn(words)
+        for c, w in new.items():
+            have[c] = self.joined(w)
+            self.held += len(c)
         out = []
-        for c in chunks:
-            if (x := have.get(c)) is None:
-                x = self.known([i for w in self.plain_words(c) for i in self.word(w)])
-                if len(c) <= LEXICON_WORD:
-                    have[c] = x
-            out.append(x)
+        for own in pieces:
+            found: list[tuple[str, str, int]] = []
+            for x in own:
+                if x[0] == "chunks":
+                    found += [have[c] for c in x[1]]
+                elif x[0] == "words":
+                    found.append(self.joined(x[1]))
+                else:
+                    found.append(x)
+            found = [x for x in found if x[2]]
+            if found:
+                ids, tokens, n = zip(*found)
+                out.append((" ".join(ids), " ".join(tokens), sum(n)))
+            else:
+                out.append(("", "", 0))
         return out
 
 
@@ -268,13 +364,15 @@ def frequent_chunks(docs: DataFrame, most: int = LEXICON_CHUNKS) -> list[str]:
             yield out()
 
     counts = docs.select("text").mapInArrow(count, "chunk string, n bigint").where(F.length("chunk") <= LEXICON_WORD).groupBy("chunk").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.orderBy(F.desc("n"), "chunk").limit(most).select("chunk").collect()]
+    return [r[0] for r in frequent(checkpointed(counts), "n", most).select("chunk").collect()]
 
 
 def lexicon_of(chunks: Iterable[str], data: str) -> bytes:
     """The lexicon of the chunks' words, with the ids that merging gives."""
     bpe = Bpe(data)
-    return Lexicon.build({w: bpe.merge(w) for c in chunks for w in (bpe.plain_words(c) if not bpe._PLAIN.search(c) else bpe.other_words(c)) if len(w) <= LEXICON_WORD})
+    words = {w for c in chunks for w in (bpe.plain_words(c) if not bpe._PLAIN.search(c) else bpe.other_words(c)) if len(w) <= LEXICON_WORD}
+    order = sorted(words)
+    return Lexicon.build(dict(zip(order, bpe.merge(order))))
 
 
 def vocabulary(name: str = "word_bpe_49k.json", path: str | None = None) -> str:
@@ -287,8 +385,8 @@ def vocabulary(name: str = "word_bpe_49k.json", path: str | None = None) -> str:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, data: str | None = None, lexicon: bytes | None = None, keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
-    """keep's columns with n_tokens, ids (array) and decoded, or their digests, for every whole text.
+def encode_documents(docs: DataFrame, data: str | None = None, lexicon: bytes | None = None, keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """keep's columns with n_tokens and outputs: ids (array), decoded, ids_sha256, decoded_sha256, for every whole text.
 
     As the tokenizers library's encode without special tokens and decode without skipping any. A null or
     empty text has no tokens and decodes to an empty text. Very long texts and words are encoded whole; words take
@@ -301,25 +399,29 @@ def encode_documents(docs: DataFrame, data: str | None = None, lexicon: bytes |
         lexicon = lexicon_of(frequent_chunks(docs), data)
     shared = spark.sparkContext.broadcast((data, lexicon))
     kept = docs.select(*keep).schema
-    fields = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digest else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
+    types = {"ids": "array<int>"}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
         bpe = Bpe(*shared.value)
         for b in sliced(batches, "_text"):
-            got = [bpe.encode(t) for t in texts(b, "_text")]
+            got = bpe.encode(texts(b, "_text"))
             columns = [b.column(k) for k in range(len(keep))] + [pa.array([x[2] for x in got], pa.int64())]
-            if digest:
-                columns += [pa.array([sha256(x[k].encode()).hexdigest() for x in got]) for k in (0, 1)]
-            else:
-                columns += [pa.array([np.array(x[0].split(), np.int32) for x in got], fields[0][1]), pa.array([x[1] for x in got])]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", *[n for n, _ in fields]])
+            for name in outputs:
+                k = int(name.startswith("decoded"))
+                if name.endswith("_sha256"):
+                    columns.append(pa.array([sha256(x[k].encode()).hexdigest() for x in got]))
+                elif k:
+                    columns.append(pa.array([x[1] for x in got]))
+                else:
+                    columns.append(pa.array([np.array(x[0].split(), np.int32) for x in got], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", *outputs])
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["n_tokens bigint"] + (["ids_sha256 string", "decoded_sha256 string"] if digest else ["ids array<int>", "decoded string"]))
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["n_tokens bigint"] + [f"{n} {types.get(n, 'string')}" for n in outputs])
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(encode, ddl)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     """Every document's number of tokens, and digests of its ids and of what they decode to."""
-    return encode_documents(table(spark, sf_dir, "documents"), digest=True)
+    return encode_documents(table(spark, sf_dir, "documents"), outputs=("ids_sha256", "decoded_sha256"))

@@ -26,12 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder, without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share (``spark.checkpoint.dir``).
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local-mode session without one gets
-    a temporary folder of its own."""
-    spark = df.sparkSession
+    Only a local-mode session without one gets a temporary folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if configured := sc.getConf().get("spark.checkpoint.dir"):
@@ -40,6 +38,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="pagelode-checkpoint-"))
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
