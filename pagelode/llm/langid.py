@@ -194,6 +194,26 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(predict, ddl)
 
 
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.2) -> DataFrame:
+    """docs without the rows whose language cannot be told: ``und``, or a score under ``least``. All columns stay.
+
+    Without a model (no labelled text has letters) there is nothing to tell by, and rows with letters stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in sliced(batches):
+            text = b.column(at).to_pylist()
+            able = [k for k, t in enumerate(text) if t and any(map(str.isalpha, t))]
+            if model and able:
+                _, scores = model.predict([text[k] for k in able])
+                able = [k for k, s in zip(able, scores) if s >= least]
+            yield b.take(pa.array(able, pa.int64()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(folds: int):
     """Whether a row is held out: its doc_id's CRC-32, of the id as text, is divisible by folds. No id: it is held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(True))

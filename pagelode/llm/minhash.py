@@ -190,7 +190,7 @@ def _verified(num: int, den: int) -> Callable:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row: groups of documents whose shingle sets are alike.
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row: groups of documents whose shingle sets are alike.
 
     Two documents link if den * |intersection| >= num * |union| of their sets of ``words``-word shingles. Steps:
     equal sets become one class; classes that share a band of registers and whose estimated similarity is
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     doc_id counts as no id: it never names a component that has another. Rows with one doc_id are each a
     document. Very long texts are hashed whole. Empty tables give empty tables; other columns are ignored."""
     count = bands * rows
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -215,11 +215,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([blake2b(s.tobytes(), digest_size=16).digest() if h else None for s, h in zip(sets, have)], pa.binary()),
                     pa.array([next(made).tobytes() if h else None for h in have], pa.binary()),
+                    b.column(2),
                 ],
-                ["doc_id", "n", "cls", "registers"],
+                ["doc_id", "n", "cls", "registers", "text_hash"],
             )
 
-    sketched = checkpointed(source.mapInArrow(sketch, "doc_id bigint, n bigint, cls binary, registers binary"))
+    sketched = checkpointed(source.mapInArrow(sketch, "doc_id bigint, n bigint, cls binary, registers binary, text_hash bigint"))
     classes = sketched.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     classes = checkpointed(classes.withColumn("c", F.monotonically_increasing_id()))
 
@@ -252,11 +253,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     smallest = groups.groupBy("component").agg(F.min("rep").alias("first"))
     grouped = groups.join(smallest, "component").select("cls", "first")
     of_class = classes.select("cls", "rep").join(grouped, "cls", "left").select("cls", F.coalesce("first", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "n", "cls").join(of_class, "cls", "left")
+    out = sketched.select("doc_id", "n", "cls", "text_hash").join(of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def without_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """docs with one document of each group of near duplicates: the one with the smallest doc_id. All columns stay.
+
+    Of rows with one doc_id and one text, one stays."""
+    kept = near_duplicates(docs, **parameters).where("kept").select(F.col("doc_id").alias("_doc"), "text_hash").distinct()
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    out = rows.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("text_hash")), "left_semi")
+    return out.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
     """Groups of near copies among all documents: three words, similarity of 0.85 or more."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85).drop("text_hash")

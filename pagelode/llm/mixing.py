@@ -125,6 +125,22 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, fan_in: int
     return docs.withColumn("_row", row).join(plan, "_row").drop("_row")
 
 
+def mixture(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of the mix, with the columns of docs: whole copies, and for the row that is cut, its first words.
+
+    Rows of which nothing is taken, among them rows without words, are left out."""
+    mixed = mix_sources(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in ("size", "source_size", "target", "taken")}), **parameters)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("long")
+    copies = F.array_repeat(F.lit(0).cast("long"), whole.cast("int"))
+    part = F.col("taken") - whole * F.col("size")
+    cuts = mixed.withColumn("_words", F.explode(F.concat(copies, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
+    # Split after each word, so that the white space before a word stays with it.
+    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.when(F.col("_words") == 0, F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), ""))
+    out = cuts.withColumn("text", text).drop("size", "source_size", "target", "taken", "_words")
+    return out.withColumnsRenamed({c: c.removeprefix("_own_") for c in out.columns if c.startswith("_own_")}).select(*docs.columns)
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """Every document with its source's size and target and the words that the mix takes of it."""
     plan = mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
