@@ -30,11 +30,13 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, config: Config =
     ranks = every.withColumn("rank", F.lit(1.0 / n))
     for _ in range(config.max_iterations if iterations is None else iterations):
         moved = weighted.join(ranks.withColumnRenamed("doc_id", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        both = checkpointed(ranks.withColumnRenamed("rank", "old").join(moved.withColumnRenamed("dst", "doc_id"), "doc_id", "left").fillna({"got": 0.0}))
-        passed = both.agg(F.sum("got")).first()[0]
-        rank = F.lit((1 - config.damping * passed) / n) + config.damping * F.col("got")
-        ranks = both.select("doc_id", rank.alias("rank"))
-        if iterations is None and both.agg(F.max(F.abs(rank - F.col("old")))).first()[0] < config.tolerance:
+        # One job a step: what is passed on is summed from the same exchange, and that sum is one row.
+        passed = moved.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("passed"))
+        both = ranks.withColumnRenamed("rank", "old").join(moved.withColumnRenamed("dst", "doc_id"), "doc_id", "left").crossJoin(F.broadcast(passed))
+        rank = (1 - config.damping * F.col("passed")) / n + config.damping * F.coalesce("got", F.lit(0.0))
+        step = checkpointed(both.select("doc_id", "old", rank.alias("rank")))
+        ranks = step.select("doc_id", "rank")
+        if iterations is None and step.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < config.tolerance:
             break
     total = ranks.agg(F.sum("rank")).first()[0]
     return ranks.select("doc_id", (F.col("rank") / total).alias("rank"))
