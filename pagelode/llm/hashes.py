@@ -50,7 +50,7 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     counts = np.bincount(w.text, minlength=len(texts)) if len(w.text) else np.zeros(len(texts), np.int64)
     n = len(w.hash)
     total = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(min(k, n)):
         total[: n - j] += mixed(w.hash[j:] ^ np.uint64(0x1234567 * (j + 1)), 100 + j)
     shingle = mixed(total, k)
     out, at = [], 0
