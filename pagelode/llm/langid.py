@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .common import sliced, table
 
 #: Buckets that n-grams of bytes are hashed to.
-FEATURES = 1 << 13
+FEATURES = 1 << 12
 #: Labelled documents that the classifiers learn from, at most, in all; languages, at most, by frequency.
-SAMPLE, LANGUAGES = 4000, 64
+SAMPLE, LANGUAGES = 1600, 64
 UNDETERMINED = "und"
 #: Families of ISO 639 codes; a language that is in none is in "other".
 FAMILIES = {
@@ -45,7 +45,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), sizes)
     x = np.concatenate([x, np.full(2, 32, np.uint8)]).astype(np.uint32)
     a, b, c = x[:-2], x[1:-1], x[2:]
-    three = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F) >> np.uint32(19)
+    three = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F) >> np.uint32(20)
     # Three blanks in a row say nothing; they also stand where texts meet.
     told = (a != 32) | ((b != 32) & (c != 32)) | ((b != 32) & (a == 32))
     return three[told].astype(np.int64), owner[told]
