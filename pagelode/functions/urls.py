@@ -54,6 +54,11 @@ def doc_id(url: Column) -> Column:
     return F.substring(F.sha2(normalize(url), 256), 1, 32)
 
 
+def doc_id_of_normalized(url: Column) -> Column:
+    """doc_id of a url that is normalized already: a far smaller expression."""
+    return F.substring(F.sha2(url, 256), 1, 32)
+
+
 def is_valid(url: Column) -> Column:
     """http or https, with a host."""
     return F.coalesce(url.rlike(r"(?i)^https?://[^/?#]+"), F.lit(False))

@@ -34,10 +34,10 @@ def acceptable(responses: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def unique_pages(raw: DataFrame) -> DataFrame:
     """(page_id, url, html) with doc_id and normalized url; of one doc_id the largest page_id stays."""
-    keyed = raw.withColumn("doc_id", urls.doc_id(F.col("url")))
+    keyed = raw.withColumn("url", urls.normalize(F.col("url"))).withColumn("doc_id", urls.doc_id_of_normalized(F.col("url")))
     # A maximum of a struct is combined before the shuffle; ids alone move, then the row that has it is kept.
     last = keyed.groupBy("doc_id").agg(F.max("page_id").alias("page_id"))
-    return keyed.join(last, ["doc_id", "page_id"]).withColumn("url", urls.normalize(F.col("url")))
+    return keyed.join(last, ["doc_id", "page_id"])
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def links(raw: DataFrame, config: Config = DEFAULT, general: bool = False) -> Da
         target = F.coalesce(target, urls.resolve_any(F.col("url"), F.col("a.href")))
     aimed = kept.select("doc_id", "pos", F.col("a.anchor").alias("anchor"), urls.normalize(target).alias("to_url")).where(urls.is_valid(F.col("to_url")))
     first = aimed.groupBy("doc_id", "to_url").agg(F.min_by("anchor", "pos").alias("anchor_text"))
-    return first.select(F.col("doc_id").alias("from_doc_id"), "to_url", urls.doc_id(F.col("to_url")).alias("to_doc_id"), F.substring("anchor_text", 1, config.max_anchor).alias("anchor_text"))
+    return first.select(F.col("doc_id").alias("from_doc_id"), "to_url", urls.doc_id_of_normalized(F.col("to_url")).alias("to_doc_id"), F.substring("anchor_text", 1, config.max_anchor).alias("anchor_text"))
 
 
 def upsert_pages(old: DataFrame, new: DataFrame, now) -> DataFrame:
