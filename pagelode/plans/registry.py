@@ -141,8 +141,7 @@ def doc_keywords(spark, d):
 
 @query
 def term_positions(spark, d):
-    docs = src.table(spark, d, "documents").where("n_chars < 2000")
-    return graph.term_positions(docs).select("doc_id", "term", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+    return graph.term_positions(src.table(spark, d, "documents")).select("doc_id", "term", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
 @query
