@@ -226,7 +226,7 @@ def pagerank_20it(spark, d):
 
 @query
 def pagerank_graph(spark, d):
-    lines = src.table(spark, d, "lineitem").where("l_orderkey <= 2000").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("s"), F.concat(F.lit("p"), F.col("l_partkey")).alias("p"), "l_linenumber")
+    lines = src.table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("s"), F.concat(F.lit("p"), F.col("l_partkey")).alias("p"), "l_linenumber")
     edges = lines.select(F.col("s").alias("src"), F.col("p").alias("dst")).union(lines.where("l_linenumber = 1").select("p", "s"))
     return pagerank.pagerank(edges, iterations=10).select("doc_id", F.round("rank", 10).alias("rank"))
 
