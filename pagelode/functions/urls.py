@@ -109,6 +109,18 @@ def resolve(base: Column, href: Column) -> Column:
     )
 
 
+def resolve_dots(base: Column, href: Column) -> Column:
+    """A relative href without a host against base, dot segments folded and empty segments dropped, as urljoin does it."""
+    own, rest = F.regexp_extract(href, r"(?s)^[^?#]*", 0), F.regexp_extract(href, r"(?s)[?#].*$", 0)
+    folder = F.when(path(base) == "", F.lit("/")).otherwise(F.regexp_extract(path(base), r"(?s)^(.*/)", 1))
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    fold = lambda kept, s: F.when(s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(s)))
+    segments = F.aggregate(F.filter(F.split(joined, "/"), lambda s: s != ""), F.array().cast("array<string>"), fold)
+    ended = F.when(joined.rlike(r"(^|/)\.{0,2}$"), F.lit("/")).otherwise(F.lit(""))
+    folded = F.regexp_replace(F.concat(F.lit("/"), F.array_join(segments, "/"), ended), "^//$", "/")
+    return F.concat(_part(base, 1), F.lit("://"), _part(base, 2), F.when(own == "", path(base)).otherwise(folded), rest)
+
+
 @F.pandas_udf(T.StringType())
 def resolve_any(base: pd.Series, href: pd.Series) -> pd.Series:
     """RFC 3986 joining in full, for the few links that resolve() leaves."""

@@ -56,16 +56,18 @@ def parsed(raw: DataFrame) -> DataFrame:
     )
 
 
-def links(raw: DataFrame, config: Config = DEFAULT, general: bool = False) -> DataFrame:
+def links(raw: DataFrame, config: Config = DEFAULT, general: bool = True) -> DataFrame:
     """(from_doc_id, to_url, to_doc_id, anchor_text): followed links, the first of each target per page.
 
-    general resolves dot segments too, in an Arrow UDF; else links with them are left out."""
+    Every href is resolved; without general, those with dot segments are left out."""
     found = unique_pages(raw).select("doc_id", "url", F.posexplode(html.anchors(F.col("html"))).alias("pos", "a"))
     kept = found.where((F.col("a.href") != "") & ~F.col("a.href").rlike(html.SKIPPED_HREF))
     target = urls.resolve(F.col("url"), F.col("a.href"))
     if general:
-        target = F.coalesce(target, urls.resolve_any(F.col("url"), F.col("a.href")))
-    aimed = kept.select("doc_id", "pos", F.col("a.anchor").alias("anchor"), urls.normalize(target).alias("to_url")).where(urls.is_valid(F.col("to_url")))
+        # With a host of its own an href keeps its path as it is, as in the reference.
+        dotted = F.when(F.col("a.href").startswith("//"), F.concat(urls.scheme(F.col("url")), F.lit(":"), F.col("a.href"))).otherwise(urls.resolve_dots(F.col("url"), F.col("a.href")))
+        target = F.coalesce(target, dotted)
+    aimed = kept.select("doc_id", "pos", F.col("a.anchor").alias("anchor"), target.alias("target")).select("doc_id", "pos", "anchor", urls.normalize(F.col("target")).alias("to_url")).where(urls.is_valid(F.col("to_url")))
     first = aimed.groupBy("doc_id", "to_url").agg(F.min_by("anchor", "pos").alias("anchor_text"))
     return first.select(F.col("doc_id").alias("from_doc_id"), "to_url", urls.doc_id_of_normalized(F.col("to_url")).alias("to_doc_id"), F.substring("anchor_text", 1, config.max_anchor).alias("anchor_text"))
 

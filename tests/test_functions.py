@@ -113,3 +113,20 @@ def test_page_window():
     assert ranking.page_window(0, 20, 0) == [1]
     assert ranking.page_window(1000, 20, 200) == list(range(7, 17))
     assert [ranking.clamp(x) for x in (None, 0, 5, 500)] == [20, 20, 5, 100]
+
+
+def test_resolve_dots(spark):
+    bases = ["http://h.example.org", "http://h.example.org/a/b/c.html", "http://h.example.org/a/b/?q=1"]
+    hrefs = ["../x", "./x", "..", ".", "../", "./", "../../../x", "/a/../b", "/a/./b/", "x/../y?z=/../w#f", "x//../y", "/..", "a/b/..", "../x/?q", "a/.b/..c/../d..", "?x=/../y"]
+    pairs = [(b, h) for b in bases for h in hrefs]
+    got = spark.createDataFrame(pairs, "b string, h string").select("b", "h", urls.normalize(urls.resolve_dots(F.col("b"), F.col("h"))).alias("got"), urls.normalize(urls.resolve_any(F.col("b"), F.col("h"))).alias("want")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_links_with_dot_segments(spark):
+    from pagelode.sources import pages
+
+    page = '<a href="../up">1</a><a href="./here">2</a><a href="/x/../y">3</a><a href="//o.example.org/a/../b">4</a><a href="plain">5</a>'
+    raw = spark.createDataFrame([(1, "http://h.example.org/a/b/c", page)], "page_id bigint, url string, html string")
+    want = ["http://h.example.org/a/b/here", "http://h.example.org/a/b/plain", "http://h.example.org/a/up", "http://h.example.org/y", "http://o.example.org/a/../b"]
+    assert sorted(r["to_url"] for r in pages.links(raw).collect()) == want
