@@ -14,7 +14,7 @@ from .common import sliced, table, texts
 
 class Rule(NamedTuple):
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     pattern: str
     priority: int
     score: float
@@ -104,6 +104,12 @@ _SENTENCES: tuple[tuple[str, str, str], ...] = (
 BASE: tuple[tuple[str, str], ...] = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 
+def _names(names: str) -> tuple[bytes, ...]:
+    """Of each name of a family the longest part that stands in all its forms."""
+    parts = [re.split(r"\(\?:[^)]*\)\??", name) for name in re.split(r"\|(?![^(]*\))", names)]
+    return tuple(max(p, key=len).strip().encode() for p in parts)
+
+
 def rules() -> list[Rule]:
     """Ordered by priority, then as written. Each pattern runs over words joined by one space.
 
@@ -111,24 +117,24 @@ def rules() -> list[Rule]:
     out = []
     licence = "licen[cs]e"
     for label, names, versions in _FAMILIES:
-        # A keyword stands in every text that a pattern matches: the licence word or the short name.
+        # A keyword stands in every text that a pattern matches: the licence word, or a name where that word is optional.
         for version in versions:
             # Each version is a rule of its own, so that the label names it.
             v = version.replace(".", " ")
-            out.append(Rule(f"{label}-{version.replace(' ', '-')}", b"licen", rf"(?:{names})(?: public)?(?: {licence})?(?: version| v)? ?{v}(?: or later| only)?(?= |$)", 90, 0.95))
-            out.append(Rule(f"{label}-{version.replace(' ', '-')}", b"spdx", rf"spdx {licence} identifier (?:{names}) {v}(?: or later| only)?(?= |$)", 100, 1.0))
-        out.append(Rule(label, b"spdx", rf"spdx {licence} identifier (?:{names})(?= |$)", 98, 1.0))
-        out.append(Rule(label, b"licen", rf"(?:re)?licen[cs]ed under (?:the )?(?:terms of the )?(?:{names})(?: {licence})?(?= |$)", 80, 0.95))
-        out.append(Rule(label, b"licen", rf"released under (?:the )?(?:terms of the )?(?:{names}) {licence}(?= |$)", 80, 0.95))
-        out.append(Rule(label, b"licen", rf"(?:{names}) {licence}(?= |$)", 60, 0.85))
+            out.append(Rule(f"{label}-{version.replace(' ', '-')}", _names(names), rf"(?:{names})(?: public)?(?: {licence})?(?: version| v)? ?{v}(?: or later| only)?(?= |$)", 90, 0.95))
+            out.append(Rule(f"{label}-{version.replace(' ', '-')}", (b"spdx",), rf"spdx {licence} identifier (?:{names}) {v}(?: or later| only)?(?= |$)", 100, 1.0))
+        out.append(Rule(label, (b"spdx",), rf"spdx {licence} identifier (?:{names})(?= |$)", 98, 1.0))
+        out.append(Rule(label, (b"licen",), rf"(?:re)?licen[cs]ed under (?:the )?(?:terms of the )?(?:{names})(?: {licence})?(?= |$)", 80, 0.95))
+        out.append(Rule(label, (b"licen",), rf"released under (?:the )?(?:terms of the )?(?:{names}) {licence}(?= |$)", 80, 0.95))
+        out.append(Rule(label, (b"licen",), rf"(?:{names}) {licence}(?= |$)", 60, 0.85))
     for label, names in _CC:
         for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
-            out.append(Rule(f"{label}-{version}", b" cc ", rf"cc (?:{names}) {version.replace('.', ' ')}(?= |$)", 85, 0.95))
-            out.append(Rule(f"{label}-{version}", b"creative", rf"creative commons (?:{names})(?: {version.replace('.', ' ')}| {licence} {version.replace('.', ' ')}|(?: [a-z]+)? {version.replace('.', ' ')}(?: international)?)(?= |$)", 85, 0.95))
-        out.append(Rule(label, b" cc ", rf"cc (?:{names})(?= |$)", 55, 0.8))
-        out.append(Rule(label, b"creative", rf"creative commons (?:{names})(?= |$)", 55, 0.8))
+            out.append(Rule(f"{label}-{version}", (b" cc ",), rf"cc (?:{names}) {version.replace('.', ' ')}(?= |$)", 85, 0.95))
+            out.append(Rule(f"{label}-{version}", (b"creative",), rf"creative commons (?:{names})(?: {version.replace('.', ' ')}| {licence} {version.replace('.', ' ')}|(?: [a-z]+)? {version.replace('.', ' ')}(?: international)?)(?= |$)", 85, 0.95))
+        out.append(Rule(label, (b" cc ",), rf"cc (?:{names})(?= |$)", 55, 0.8))
+        out.append(Rule(label, (b"creative",), rf"creative commons (?:{names})(?= |$)", 55, 0.8))
     for label, keyword, sentence in _SENTENCES:
-        out.append(Rule(label, keyword.encode(), rf"{sentence}(?= |$)", 30 if label in ("copyright", "warranty", "all-rights-reserved") else 70, 0.5 if label in ("copyright", "warranty", "all-rights-reserved") else 0.9))
+        out.append(Rule(label, (keyword.encode(),), rf"{sentence}(?= |$)", 30 if label in ("copyright", "warranty", "all-rights-reserved") else 70, 0.5 if label in ("copyright", "warranty", "all-rights-reserved") else 0.9))
     return sorted(out, key=lambda r: -r.priority)
 
 
@@ -143,7 +149,8 @@ class Scanner:
         self.rules = [(r, re.compile(b"(?<![^ ])" + r.pattern.encode())) for r in rules()]
         self.by_keyword: dict[str, list[int]] = {}
         for k, (r, _) in enumerate(self.rules):
-            self.by_keyword.setdefault(r.keyword.decode(), []).append(k)
+            for word in r.keywords:
+                self.by_keyword.setdefault(word.decode(), []).append(k)
         self.keywords = ahocorasick.Automaton()
         for word in self.by_keyword:
             self.keywords.add_word(word, word)
@@ -157,7 +164,7 @@ class Scanner:
         seen = {word for _, word in self.keywords.iter(f" {joined.decode('latin-1')} ")}
         if not seen:  # the base phrases have a keyword too
             return len(words), 0, None, None, "", "", 0.0, []
-        due = sorted(k for word in seen for k in self.by_keyword[word])
+        due = sorted({k for word in seen for k in self.by_keyword[word]})
         found: list[tuple[int, int, Rule]] = []
         for k in due:
             rule, pattern = self.rules[k]
