@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; those left without words go."""
-    out = dedup_passages(docs)
+    out = dedup_passages(docs, whole_lines=True)
     cut = F.size("spans") > 0
     out = out.where(~cut | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     changed = {"text": F.col("kept_text")}

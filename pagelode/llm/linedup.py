@@ -18,8 +18,8 @@ WINDOW = 16
 #: Least words of a run of repeated units that is removed.
 LEAST_WORDS = 16
 
-_UNITS = pa.schema([("_row", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n", pa.int32())])
-_UNITS_DDL = "_row bigint, d1 bigint, d2 bigint, unit int, start int, stop int, n int"
+_UNITS = pa.schema([("_row", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n", pa.int32()), ("whole", pa.bool_())])
+_UNITS_DDL = "_row bigint, d1 bigint, d2 bigint, unit int, start int, stop int, n int, whole boolean"
 
 
 def units(texts: list[str], window: int = WINDOW):
@@ -29,10 +29,15 @@ def units(texts: list[str], window: int = WINDOW):
     the smallest of a window of pairs. A cut depends on the words around it alone, so a passage has
     the same inner cuts wherever it stands, and two cuts are at most ``window`` words apart. Words are
     compared with A-Z lower-cased and white space collapsed; units without words are left out."""
+    return _cut(texts, window)[:6]
+
+
+def _cut(texts: list[str], window: int):
+    """What units gives, and whether each unit is a whole line."""
     w = Words(texts)
     raw, begin, end, word, text = w.raw, w.begin, w.end, w.hash, w.text
     if not len(begin):
-        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2 + (np.empty(0, bool),)
     # Lines begin at the first word after a line break; texts are apart by one.
     line = np.searchsorted(np.flatnonzero(raw == 10), begin)
     first = np.concatenate([[True], line[1:] != line[:-1]])
@@ -46,6 +51,7 @@ def units(texts: list[str], window: int = WINDOW):
         cut[views[inside].argmin(1) + inside] = True
     where = np.flatnonzero(cut)
     size = np.diff(np.append(where, n))
+    whole = first[where] & np.append(first[where[1:]], True)
     inside = np.arange(n) - np.repeat(where, size)
     weight = odd(int(size.max()), 11)
     d1 = mixed(np.add.reduceat(word * weight[inside], where), 13)
@@ -55,26 +61,26 @@ def units(texts: list[str], window: int = WINDOW):
     if not w.ascii:  # bytes to code points
         chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         start, stop, base = chars[start], chars[stop], chars[np.minimum(base, len(raw))]
-    return text, start - base[text], stop - base[text], size, d1, d2
+    return text, start - base[text], stop - base[text], size, d1, d2, whole
 
 
 def _units(rows: DataFrame, window: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            text, start, stop, size, d1, d2 = units(texts(b), window)
+            text, start, stop, size, d1, d2, whole = _cut(texts(b), window)
             number = np.arange(len(text)) - np.searchsorted(text, text)
             narrow = [pa.array(x.astype(np.int32)) for x in (number, start, stop, size)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *narrow], schema=_UNITS)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *narrow, pa.array(whole)], schema=_UNITS)
 
     return rows.mapInArrow(make, _UNITS_DDL)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, whole_lines: bool = False) -> DataFrame:
     """(doc_id, spans): the passages that stand elsewhere before, as array<struct<start,stop,words>> of code points.
 
     Digests of all units are grouped over all documents; the occurrence that is first by doc_id and place is
     kept, the others are repeats. Neighbouring repeats of one document make a passage, which is listed if it has
-    at least ``least_words`` words. A null doc_id ranks first. Rows with one doc_id are one document: of equal
+    at least ``least_words`` words; with ``whole_lines``, repeated whole lines are listed at any length. A null doc_id ranks first. Rows with one doc_id are one document: of equal
     units at one place, all are the first. Documents without such passages have no row here."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_row"), "text").where("text is not null")
     every = _units(rows, window)
@@ -82,9 +88,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, least_words: int = LEA
     first = every.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("_last")).where("first <> _last").drop("_last")
     again = every.join(first, ["d1", "d2"]).where(~F.struct(F.col("_row").alias("r"), F.col("unit").alias("u")).eqNullSafe(F.col("first")))
     # Runs of neighbouring repeats, within one document.
-    own = again.select("_row", "unit", "start", "stop", "n").dropDuplicates(["_row", "unit", "start"])
+    own = again.select("_row", "unit", "start", "stop", "n", "whole").dropDuplicates(["_row", "unit", "start"])
     by = W.partitionBy("_row").orderBy("unit", "start")
     run = own.withColumn("g", F.col("unit") - F.row_number().over(by))
+    if whole_lines:
+        # Of a run with fewer words its whole lines stay, which are runs anew.
+        long = F.sum("n").over(W.partitionBy("_row", "g")) >= least_words
+        kept = run.withColumn("long", long).where("long or whole")
+        run = kept.withColumn("g", F.col("unit") - F.row_number().over(by))
+        least_words = 1
     runs = run.groupBy("_row", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("words")).where(F.col("words") >= least_words)
     return runs.groupBy(F.col("_row").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "words"))).alias("spans"))
 
@@ -96,11 +108,11 @@ def without_spans(text, spans):
     return F.array_join(F.transform(F.arrays_zip(start.alias("a"), stop.alias("b")), lambda p: F.substring(text, p["a"] + 1, p["b"] - p["a"])), "")
 
 
-def dedup_passages(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_passages(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, whole_lines: bool = False) -> DataFrame:
     """docs with spans (empty without repeats) and kept_text, the text without its repeated passages.
 
     A null text stays null; offsets in spans are those of the text as it was. All rows and other columns stay."""
-    spans = repeated_spans(docs, window, least_words).withColumnRenamed("doc_id", "_doc")
+    spans = repeated_spans(docs, window, least_words, whole_lines).withColumnRenamed("doc_id", "_doc")
     none = F.array().cast("array<struct<start:int,stop:int,words:bigint>>")
     joined = docs.drop("spans", "kept_text").join(spans, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     return joined.withColumn("kept_text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("spans")))).withColumn("spans", F.coalesce("spans", none))
@@ -109,7 +121,7 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, least_words: int = LEA
 def op6_linedup(spark, sf_dir: str) -> DataFrame:
     """Every document with the offsets of the passages that an earlier document (or place) has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = repeated_spans(docs).withColumnRenamed("doc_id", "_doc")
+    spans = repeated_spans(docs, whole_lines=True).withColumnRenamed("doc_id", "_doc")
     out = docs.select("doc_id").join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     n = F.coalesce(F.size("spans"), F.lit(0)).cast("bigint")
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["stop"] - s["start"])

@@ -282,3 +282,21 @@ def test_no_training_texts(docs):
     model, counts = hmm.train(docs.limit(0))
     assert all(r["n_known"] == 0 for r in hmm.score_documents(docs, model, counts).collect())
     assert hmm.score_documents(docs.limit(0), model, counts).count() == 0
+
+
+def test_whole_lines_by_brute_force(spark, duck, tmp_path):
+    rows = duck.execute("SELECT doc_id, text FROM documents").fetchall() + [(10**6, "one short line\nown words"), (10**6 + 1, "new\nOne  short line\n\nown\nwords"), (10**6 + 2, "a b\na b")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["spans"] or [] for r in linedup.op6_linedup(spark, str(tmp_path)).collect()}
+    seen = set()
+    for doc_id, text in sorted(rows):
+        at = 0
+        for line in (text or "").split("\n"):
+            w = tuple(words(line))
+            if w and w in seen:
+                a = at + len(line) - len(line.lstrip(" \t\r\v\f"))
+                assert any(s["start"] <= a and at + len(line.rstrip(" \t\r\v\f")) <= s["stop"] for s in got[doc_id]), (doc_id, line)
+            seen.add(w)
+            at += len(line) + 1
+    assert [(s["start"], s["stop"], s["words"]) for s in got[10**6 + 1]] == [(4, 19, 3)]
+    assert [(s["start"], s["stop"]) for s in got[10**6 + 2]] == [(4, 7)]
