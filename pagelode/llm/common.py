@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import sys
 import tempfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
 #: Bytes of text that a Python step works on at a time.
 SLICE_BYTES = 4 << 20
+#: Bits of a bitmap of keys that goes to all tasks, however many keys there are; bits of one of its parts.
+BITMAP, PART = 1 << 26, 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +46,76 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder, without its lineage."""
+    """df, written to the shared checkpoint folder, without its lineage.
+
+    checkpoint() runs the last stage of a plan twice, to count rows and to write them; so the rows are kept on the
+    executors' disks between the two. If an executor is lost meanwhile, its rows are made anew."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    held = df.persist(StorageLevel.DISK_ONLY)
+    out = held.checkpoint()
+    held.unpersist()
+    return out
+
+
+def unused(columns, name: str) -> str:
+    """name, with as many underscores before it as columns need to have no such name, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in the bitmap for each 64-bit key."""
+    k = keys.view(np.uint64)
+    return k % np.uint64(BITMAP), (k * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(BITMAP)
+
+
+def maybe_among(keys: DataFrame) -> Callable:
+    """A test of 64-bit keys, as a column: true for all keys of the one column of ``keys``, and by chance for a few others.
+
+    The keys stay distributed: tasks set two bits of each in parts of a bitmap of BITMAP bits (8 MB), parts are united, and the
+    bitmap is broadcast. Its size does not grow with the keys; with very many of them more others pass, so it
+    serves to leave rows out of a shuffle, not to decide."""
+
+    def parts(bits: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        for k, part in enumerate(bits.reshape(-1, PART // 8)):
+            if part.any():
+                yield k, zlib.compress(part.tobytes(), 1)
+
+    def packed(found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["part", "bits"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, any_keys = np.zeros(BITMAP // 8, np.uint8), False
+        for b in batches:
+            any_keys = any_keys or b.num_rows > 0
+            for at in _bits(b.column(0).to_numpy(zero_copy_only=False)):
+                np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        if any_keys:
+            yield packed(list(parts(bits)))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part = np.frombuffer(zlib.decompress(x), np.uint8)
+                made[k] = made[k] | part if k in made else part
+        if made:
+            yield packed([(k, zlib.compress(x.tobytes(), 1)) for k, x in made.items()])
+
+    whole = bytearray(BITMAP // 8)
+    for k, x in keys.mapInArrow(mark, "part int, bits binary").repartition("part").mapInArrow(unite, "part int, bits binary").collect():
+        whole[k * PART // 8 : (k + 1) * PART // 8] = zlib.decompress(x)
+    shared = keys.sparkSession.sparkContext.broadcast(bytes(whole))
+
+    @F.pandas_udf("boolean")
+    def among(k: pd.Series) -> pd.Series:
+        bits = np.frombuffer(shared.value, np.uint8)
+        a, b = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 for at in _bits(k.to_numpy(np.int64)))
+        return pd.Series((a & b).astype(bool))
+
+    return among
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
