@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
 #: Bytes of text that a Python step works on at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bits of a bitmap of keys that goes to all tasks, however many keys there are; bits of one of its parts.
 BITMAP, PART = 1 << 26, 1 << 19
 
