@@ -38,15 +38,23 @@ def path(url: Column) -> Column:
     return _part(url, 3)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body has it: it is bound as a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize(url: Column) -> Column:
     """Without fragment, empty query and default port; scheme and host lower-cased; runs of slashes in the path are one."""
-    bare = F.regexp_replace(url, "(?s)#.*$", "")
-    kind, where = scheme(bare), host(bare)
-    where = F.when(kind == "http", F.regexp_replace(where, ":80$", "")).when(kind == "https", F.regexp_replace(where, ":443$", "")).otherwise(where)
-    query = F.regexp_replace(_part(bare, 4), r"^\?$", "")
-    whole = F.concat(kind, F.lit("://"), where, F.regexp_replace(path(bare), "/+", "/"), query)
-    relative = F.concat(F.regexp_replace(F.regexp_extract(bare, r"(?s)^[^?]*", 0), "/+", "/"), F.regexp_replace(F.regexp_extract(bare, r"(?s)\?.*$", 0), r"^\?$", ""))
-    return F.when(bare.rlike(_PARTS), whole).otherwise(relative)
+
+    def whole(bare: Column) -> Column:
+        where = lambda kind: let(host(bare), lambda w: F.when(kind == "http", F.regexp_replace(w, ":80$", "")).when(kind == "https", F.regexp_replace(w, ":443$", "")).otherwise(w))
+        query = F.regexp_replace(_part(bare, 4), r"^\?$", "")
+        return let(scheme(bare), lambda kind: F.concat(kind, F.lit("://"), where(kind), F.regexp_replace(path(bare), "/+", "/"), query))
+
+    def relative(bare: Column) -> Column:
+        return F.concat(F.regexp_replace(F.regexp_extract(bare, r"(?s)^[^?]*", 0), "/+", "/"), F.regexp_replace(F.regexp_extract(bare, r"(?s)\?.*$", 0), r"^\?$", ""))
+
+    return let(F.regexp_replace(url, "(?s)#.*$", ""), lambda bare: F.when(bare.rlike(_PARTS), whole(bare)).otherwise(relative(bare)))
 
 
 def doc_id(url: Column) -> Column:
@@ -82,16 +90,18 @@ def ipv4_number(text: Column) -> Column:
 
 def in_scope(url: Column, scope: Scope) -> Column:
     """Host ends with an allowed suffix, or is one without its dot, or is an IPv4 address of a range."""
-    name = domain(url)
-    number = ipv4_number(name)
-    tests = [name.endswith(s) | (name == s.lstrip(".")) for s in scope.suffixes]
-    for text in scope.ipv4_ranges:
-        net = ipaddress.ip_network(text, strict=False)
-        tests.append(F.coalesce(number.between(int(net.network_address), int(net.broadcast_address)), F.lit(False)))
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return (name != "") & out
+
+    def test(name: Column) -> Column:
+        tests = [name.endswith(s) | (name == s.lstrip(".")) for s in scope.suffixes]
+        out = F.lit(False)
+        for t in tests:
+            out = out | t
+        for text in scope.ipv4_ranges:
+            net = ipaddress.ip_network(text, strict=False)
+            out = out | let(ipv4_number(name), lambda n: F.coalesce(n.between(int(net.network_address), int(net.broadcast_address)), F.lit(False)))  # noqa: B023
+        return (name != "") & out
+
+    return let(domain(url), test)
 
 
 def resolve(base: Column, href: Column) -> Column:
