@@ -95,7 +95,8 @@ class Index:
         return cls(posted, docs, document_frequencies(posted))
 
     def save(self, spark: SparkSession, database: str = "default", buckets: int = 16) -> None:
-        """Tables bucketed and sorted by their keys, so that queries read the buckets of their terms alone."""
+        """Tables bucketed and sorted by their keys, so that queries read the buckets of their terms alone. What was there is replaced."""
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
         self.postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term", "doc_id").saveAsTable(f"{database}.postings")
         self.docs.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("doc_id").saveAsTable(f"{database}.docs")
         self.df.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(f"{database}.dictionary")

@@ -55,13 +55,17 @@ def bm25_of(index: Index, doc_ids: DataFrame, terms: list[str], config: Config =
     return doc_ids.select("doc_id").join(bm25(index, terms, config), "doc_id", "left").fillna({"bm25": 0.0})
 
 
+def _tops(matched: DataFrame) -> DataFrame:
+    """One row of the largest scores. Its plan has the exchanges of matched again, which are reused, so matches are scored once."""
+    return matched.agg(F.max("bm25").alias("_b"), F.max("pagerank").alias("_p"))
+
+
 def fused(index: Index, terms: list[str], mode: str = "hybrid", config: Config = DEFAULT) -> DataFrame:
     """(doc_id, bm25, pagerank, final); modes other than authority and hybrid are relevance.
 
     Scores are divided by their maxima over the matches, or by 1 if those are 0."""
     matched = bm25(index, terms, config).join(index.docs.select("doc_id", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank")), "doc_id", "left").fillna({"pagerank": 0.0})
-    tops = matched.agg(F.max("bm25").alias("_b"), F.max("pagerank").alias("_p"))
-    scored = matched.crossJoin(F.broadcast(tops))
+    scored = matched.crossJoin(F.broadcast(_tops(matched)))
     relevance = F.col("bm25") / F.when(F.col("_b") > 0, F.col("_b")).otherwise(F.lit(1.0))
     authority = F.col("pagerank") / F.when(F.col("_p") > 0, F.col("_p")).otherwise(F.lit(1.0))
     final = {"authority": authority, "hybrid": config.relevance_weight * relevance + config.authority_weight * authority}.get(mode, relevance)
@@ -129,6 +133,25 @@ def explain(index: Index, doc_id: str, terms: list[str], config: Config = DEFAUL
     )
 
 
+def result_details(index: Index, doc_id: str, terms: list[str], config: Config = DEFAULT) -> DataFrame:
+    """(doc_id, url, title, length, bm25) of one document for the terms; bm25 is 0 without a match, and no row without the document."""
+    one = index.docs.where(F.col("doc_id") == doc_id).select("doc_id", "url", "title", "length")
+    return bm25_of(index, one, terms, config).join(one, "doc_id").select("doc_id", "url", "title", "length", "bm25")
+
+
+def page_numbers(total: Column, limit: Column, offset: Column) -> Column:
+    """page_window as a column."""
+    pages = F.greatest(F.lit(1), F.ceil(total / limit)).cast("int")
+    start = F.greatest(F.lit(1), F.floor(offset / limit).cast("int") - 3)
+    last = F.least(pages, start + 9)
+    return F.when(start <= last, F.sequence(start, last)).otherwise(F.array().cast("array<int>"))
+
+
+def clamped(limit: Column, config: Config = DEFAULT) -> Column:
+    """clamp as a column: none or 0 is the usual limit."""
+    return F.least(F.when(F.coalesce(limit, F.lit(0)) == 0, config.default_limit).otherwise(limit), F.lit(config.max_limit))
+
+
 def page_window(total: int, limit: int, offset: int) -> list[int]:
     """Page numbers shown under results: ten at most, four before the current one."""
     pages = max(1, -(-total // limit))

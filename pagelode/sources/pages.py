@@ -73,7 +73,8 @@ def links(raw: DataFrame, config: Config = DEFAULT, general: bool = True) -> Dat
 
 
 def upsert_pages(old: DataFrame, new: DataFrame, now) -> DataFrame:
-    """old with new by url: created_at stays, pagerank and is_indexed start anew. new has no two rows of one url."""
+    """old with new by url: created_at stays, pagerank and is_indexed start anew. Of rows of one url in new, one is taken."""
+    new = new.dropDuplicates(["url"])
     created = old.select("url", F.col("created_at").alias("_created"))
     fresh = new.drop("created_at", "updated_at", "pagerank", "is_indexed").join(created, "url", "left")
     fresh = fresh.withColumns({"created_at": F.coalesce("_created", now), "updated_at": now, "pagerank": F.lit(0.0), "is_indexed": F.lit(False)}).drop("_created")
@@ -86,6 +87,18 @@ def add_links(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
+def mark_indexed(pages: DataFrame, doc_ids: DataFrame, now) -> DataFrame:
+    """pages with is_indexed set for doc_ids (doc_id), and their updated_at."""
+    marked = pages.join(doc_ids.select("doc_id", F.lit(True).alias("_done")).distinct(), "doc_id", "left")
+    return marked.withColumns({"is_indexed": F.coalesce("_done", "is_indexed"), "updated_at": F.when(F.col("_done"), now).otherwise(F.col("updated_at"))}).drop("_done").select(*pages.columns)
+
+
+def conformed(frame: DataFrame, schema: T.StructType = PAGES) -> DataFrame:
+    """frame with the schema's columns, in its order and types: missing ones null, others left out. Old tables are read through it."""
+    have = {c.lower(): c for c in frame.columns}
+    return frame.select(*[(F.col(f"`{have[f.name]}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def page(pages: DataFrame, url: str | None = None, doc_id: str | None = None) -> DataFrame:
     """The page of a url, else of a doc_id; nothing without either."""
     test = F.col("url") == url if url else F.col("doc_id") == doc_id if doc_id else F.lit(False)
@@ -112,4 +125,5 @@ def paged(pages: DataFrame, limit: int | None = None, offset: int = 0) -> DataFr
 
 
 def ranked_rows(frame: DataFrame, *order) -> DataFrame:
+    """A page of results with rank numbers from 1; the frame is limited already, as a window over all of it is one task."""
     return frame.withColumn("rank", F.row_number().over(W.orderBy(*order)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import http.client
+import urllib.error
 import urllib.request
 from collections.abc import Iterator
 
@@ -15,27 +17,37 @@ class _Reader(DataSourceReader):
         self.urls = [u for u in options.get("urls", "").split() if u]
         self.timeout = float(options.get("timeout", "10"))
         self.most = int(options.get("max_bytes", str(10 * 1024 * 1024)))
+        self.agent = options.get("agent", "pagelode")
         self.parts = max(1, int(options.get("partitions", "8")))
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition((k, self.urls[k :: self.parts])) for k in range(min(self.parts, len(self.urls)))]
 
+    def _response(self, number: int, url: str) -> tuple:
+        try:
+            request = urllib.request.Request(url, headers={"User-Agent": self.agent})
+            with urllib.request.urlopen(request, timeout=self.timeout) as r:
+                h = r.headers
+                kind, size = h.get("Content-Type"), int(h.get("Content-Length") or 0)
+                row = number, r.geturl(), r.status, kind, h.get("ETag"), h.get("Last-Modified")
+                # The body is read only if it can become a page.
+                if size > self.most or not any(x in (kind or "") for x in ("text/html", "text/plain")):
+                    return *row, None
+                body = r.read(self.most + 1)
+                return *row, body.decode(h.get_content_charset() or "utf-8", "replace") if len(body) <= self.most else None
+        except urllib.error.HTTPError as e:
+            return number, url, e.code, e.headers.get("Content-Type"), None, None, None
+        except (OSError, ValueError, LookupError, http.client.HTTPException):
+            return number, url, 0, None, None, None, None
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         first, urls = partition.value
         for k, url in enumerate(urls):
-            try:
-                with urllib.request.urlopen(url, timeout=self.timeout) as r:
-                    body = r.read(self.most + 1)
-                    if len(body) > self.most:
-                        continue
-                    h = r.headers
-                    yield first + k * self.parts, r.geturl(), r.status, h.get("Content-Type"), h.get("ETag"), h.get("Last-Modified"), body.decode(h.get_content_charset() or "utf-8", "replace")
-            except OSError:
-                continue
+            yield self._response(first + k * self.parts, url)
 
 
 class WebSource(DataSource):
-    """Responses of the given urls; those that fail are left out, as the frontier retries them."""
+    """A response for each of the given urls: without html if it is no text or too large, with status 0 if there was none."""
 
     @classmethod
     def name(cls) -> str:

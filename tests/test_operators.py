@@ -196,6 +196,17 @@ def test_streams(spark, tmp_path):
     assert len(at) == 4 and all((b - a).total_seconds() == pytest.approx(1 / 3, abs=1e-3) for a, b in zip(at, at[1:]))
 
 
+def test_polite_with_a_watermark(spark, tmp_path):
+    later = NOW + datetime.timedelta(days=1)
+    for k, ts in enumerate((NOW, later, later)):
+        spark.createDataFrame([(f"http://a.example.org/{k}{n}", "a.example.org", ts) for n in range(3)], "url string, domain string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema("url string, domain string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = stream.polite(read, watermark="1 minute").writeStream.format("memory").queryName("spaced").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    at = sorted(r["at"] for r in spark.table("spaced").collect())
+    assert len(at) == 9 and min((b - a).total_seconds() for a, b in zip(at, at[1:])) == pytest.approx(1 / 3, abs=1e-3)
+
+
 def test_outcomes_stream(spark, tmp_path):
     found = spark.createDataFrame([("http://a.example.org/", 0), ("http://a.example.org/b", 0)], "url string, depth int")
     frontier.enqueue(_empty_queue(spark), found, F.lit(NOW)).write.parquet(str(tmp_path / "queue/version=0"))
