@@ -91,14 +91,32 @@ HREF = unescape(r"""trim(regexp_extract(regexp_extract(a, '(?is)^<a\s([^>]*)>',
 ANCHOR_TITLE = unescape(r"""regexp_extract(regexp_extract(a, '(?is)^<a\s([^>]*)>', 1), '(?is)\btitle\s*=\s*["'']([^"'']*)["'']', 1)""")
 ANCHOR = f"substr(CASE WHEN {squeezed(unescape("regexp_replace(a, '(?s)<[^>]*>', ' ', 'g')"))} <> '' THEN {squeezed(unescape("regexp_replace(a, '(?s)<[^>]*>', ' ', 'g')"))} ELSE {ANCHOR_TITLE} END, 1, 200)"
 ROOT = f"{part('url', 1)} || '://' || {part('url', 2)}"
+
+
+def dotless(path: str) -> str:
+    """A path that begins with a slash without its dot segments, by RFC 3986 5.2.4 over its segments; empty ones are dropped."""
+    segments = f"list_filter(string_split({path}, '/'), lambda s: s <> '')"
+    folded = f"list_reduce(list_prepend('', {segments}), lambda kept, s: CASE s WHEN '.' THEN kept WHEN '..' THEN regexp_replace(kept, '/[^/]*$', '') ELSE kept || '/' || s END)"
+    return rf"(CASE WHEN {folded} = '' THEN '/' ELSE {folded} || CASE WHEN regexp_matches({path}, '(^|/)\.{{0,2}}$') THEN '/' ELSE '' END END)"
+
+
+FOLDER = f"(CASE WHEN {part('url', 3)} = '' THEN '/' ELSE regexp_extract({part('url', 3)}, '(?s)^(.*/)', 1) END)"
+
+
+def joined(href: str) -> str:
+    """A relative href with dot segments against url."""
+    own = f"regexp_extract({href}, '(?s)^[^?#]*', 0)"
+    return f"({ROOT} || {dotless(f"(CASE WHEN starts_with({own}, '/') THEN {own} ELSE {FOLDER} || {own} END)")} || regexp_extract({href}, '(?s)[?#].*$', 0))"
+
+
 LINKS = rf"""{PAGES},
 a0 AS (SELECT doc_id, url, unnest({RAW_ANCHORS}) AS a, unnest(range(len({RAW_ANCHORS}))) AS pos FROM u),
 a1 AS (SELECT doc_id, url, pos, {HREF} AS href, {ANCHOR} AS anchor FROM a0),
 a2 AS (SELECT doc_id, pos, anchor, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN href
-    WHEN regexp_matches(href, '(^|/)\.\.?(/|$|\?|#)') THEN NULL
-    WHEN starts_with(href, '//') THEN {part('url', 1)} || ':' || href WHEN starts_with(href, '/') THEN {ROOT} || href
+    WHEN starts_with(href, '//') THEN {part('url', 1)} || ':' || href
+    WHEN regexp_matches(href, '(^|/)\.\.?(/|$|\?|#)') THEN {joined('href')} WHEN starts_with(href, '/') THEN {ROOT} || href
     WHEN starts_with(href, '?') THEN {ROOT} || {part('url', 3)} || href
-    ELSE {ROOT} || (CASE WHEN {part('url', 3)} = '' THEN '/' ELSE regexp_extract({part('url', 3)}, '(?s)^(.*/)', 1) END) || href END AS target
+    ELSE {ROOT} || {FOLDER} || href END AS target
   FROM a1 WHERE href <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:|tel:|ftp:|data:)')),
 a3 AS (SELECT doc_id AS from_doc_id, {norm('target')} AS to_url, anchor, pos FROM a2 WHERE target IS NOT NULL),
 links AS MATERIALIZED (SELECT from_doc_id, to_url, {docid('to_url')} AS to_doc_id, anchor AS anchor_text FROM a3
@@ -159,7 +177,7 @@ add("tokenize_terms", f"WITH {CORPUS_TERMS} SELECT term, count(*) AS n FROM t GR
 add("stem_vocab", f"WITH t0 AS (SELECT DISTINCT unnest({words('text')}) AS word FROM documents) SELECT word, {stem('word')} AS stem FROM t0")
 _PLAIN = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 add("doc_keywords", f"WITH w AS (SELECT doc_id, unnest({_PLAIN}) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS freq FROM w WHERE regexp_matches(word, '^[a-z]{{3,}}$') AND word NOT IN ({', '.join(map(lit, KEYWORD_STOP_WORDS))}) GROUP BY ALL) SELECT doc_id, word, freq, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, word) AS rank FROM c QUALIFY rank <= 5")
-add("term_positions", f"WITH w AS (SELECT doc_id, unnest({_PLAIN}) AS term, unnest(range(len({_PLAIN}))) AS pos FROM documents WHERE n_chars < 2000) SELECT doc_id, term, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM w GROUP BY ALL")
+add("term_positions", f"WITH w AS (SELECT doc_id, unnest({_PLAIN}) AS term, unnest(range(len({_PLAIN}))) AS pos FROM documents) SELECT doc_id, term, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM w GROUP BY ALL")
 add("term_counts", f"WITH {TOKENS} SELECT doc_id, term, count(*) * 5.0::DOUBLE AS weighted FROM t WHERE field = 'title' GROUP BY ALL")
 
 # Index
@@ -179,7 +197,7 @@ add("in_links", f"WITH {LINKS} SELECT to_doc_id, count(*) AS in_degree FROM link
 add("link_stats", f"WITH {LINKS} SELECT count(*) AS total_links, count(DISTINCT from_doc_id) AS linking_pages, count(DISTINCT to_doc_id) AS linked_documents FROM links")
 add("dangling_nodes", f"WITH {LINKS} SELECT DISTINCT to_doc_id AS doc_id FROM links WHERE to_doc_id NOT IN (SELECT from_doc_id FROM links)")
 add("pagerank_20it", f"WITH {LINKS}, {page_ranks(20)} SELECT doc_id, round(rank, 10) AS rank FROM rank")
-_LINES = "SELECT 's' || l_suppkey AS s, 'p' || l_partkey AS p, l_linenumber FROM lineitem WHERE l_orderkey <= 2000"
+_LINES = "SELECT 's' || l_suppkey AS s, 'p' || l_partkey AS p, l_linenumber FROM lineitem"
 add("pagerank_graph", f"WITH ln AS MATERIALIZED ({_LINES}), {ranks('SELECT s AS src, p AS dst FROM ln UNION ALL SELECT p, s FROM ln WHERE l_linenumber = 1', 'SELECT s AS id FROM ln UNION SELECT p FROM ln', 10)} SELECT doc_id, round(rank, 10) AS rank FROM rank")
 add("pagerank_top", f"WITH {LINKS}, {page_ranks(20)}, r AS (SELECT doc_id, round(rank, 10) AS rank FROM rank ORDER BY 2 DESC, 1 LIMIT 10) SELECT doc_id, rank, coalesce(title, doc_id) AS title, coalesce(url, '') AS url FROM r LEFT JOIN p USING (doc_id)")
 add("pagerank_summary", f"WITH {LINKS}, {page_ranks(20)} SELECT count(*) AS nodes, round(max(rank), 10) AS max_rank, round(min(rank), 10) AS min_rank, round(avg(rank), 10) AS mean_rank FROM rank")
@@ -244,3 +262,61 @@ add("engine_stats", f"WITH {INDEX}, {anchors_after(LINKS)} {_STATS}, (SELECT cou
 add("top_pages", f"WITH {LINKS}, {page_ranks(3)} SELECT doc_id, url, title, round(coalesce(rank, 0), 10) AS pagerank FROM p LEFT JOIN rank USING (doc_id) ORDER BY 4 DESC, doc_id LIMIT 20")
 add("upsert", f"""WITH {PAGES} SELECT doc_id, url, CASE WHEN doc_id < 'c' THEN 1672531200 ELSE {_NOW} END AS created, CASE WHEN doc_id > '6' THEN {_NOW} ELSE 1672531200 END AS updated,
 CASE WHEN doc_id > '6' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS pagerank, NOT doc_id > '6' AS is_indexed FROM p""")
+
+# Stored tables
+_ONE = f"(SELECT {norm('url')} FROM pages WHERE page_id = 0)"
+_ONE_ID = f"(SELECT {docid('url')} FROM pages WHERE page_id = 0)"
+add("pages_conformed", f"WITH {PAGES}, z AS (SELECT p.doc_id, title, 200 AS status_code, CAST(NULL AS DOUBLE) AS pagerank, CAST(strlen(html) AS BIGINT) AS content_length FROM p JOIN u USING (doc_id)) SELECT * FROM z")
+add("pages_paged", f"WITH {PAGES} SELECT doc_id, url FROM p ORDER BY doc_id LIMIT 10 OFFSET 5")
+add("page_lookup", f"WITH {PAGES} SELECT doc_id, url, title FROM p WHERE url = {_ONE}")
+add("page_links_out", f"WITH {LINKS} SELECT * FROM links WHERE from_doc_id = {_ONE_ID}")
+add("page_links_in", f"WITH {LINKS} SELECT * FROM links WHERE to_doc_id = (SELECT min(to_doc_id) FROM links)")
+add("links_added", f"WITH {LINKS} SELECT from_doc_id, to_url FROM links")
+add("url_known", f"WITH {PAGES} SELECT count(*) > 0 AS exists FROM p WHERE url = {_ONE}")
+add("mark_indexed", f"WITH {PAGES} SELECT doc_id, doc_id < '8' AS is_indexed, CASE WHEN doc_id < '8' THEN {_NOW} ELSE 1672531200 END AS updated FROM p")
+add("size_limit", "SELECT page_id FROM pages WHERE strlen(html) <= 2000")
+add("ranked_pages", f"WITH {PAGES}, l AS (SELECT doc_id, CAST(strlen(html) AS BIGINT) AS content_length FROM u) SELECT *, row_number() OVER (ORDER BY content_length DESC, doc_id) AS rank FROM l QUALIFY rank <= 10")
+add("index_saved", ORACLES["postings_weighted"])
+add("index_incremental", f"WITH {INDEX} SELECT term, doc_id, freq FROM post")
+add("index_state", f"WITH {INDEX} SELECT CAST((SELECT count(*) FROM len) AS INTEGER) AS total_docs, CAST((SELECT count(*) FROM df) AS INTEGER) AS total_terms, 4 AS version")
+add("search_saved", ORACLES["search"])
+add("search_full", f"""WITH {FUSED}, n AS (SELECT count(*) AS total FROM (SELECT doc_id FROM parts GROUP BY doc_id HAVING count(*) = 2)),
+y AS (SELECT *, 0.7::DOUBLE * (bm25 / tb) + 0.3::DOUBLE * (pagerank / tp) AS f FROM m, x ORDER BY f DESC, bm25 DESC, doc_id LIMIT 5 OFFSET 5)
+SELECT total, 2 AS page, CAST(NULL AS VARCHAR) AS corrected, doc_id, round(f, 6) AS final, round(bm25, 4) AS bm25, round(pagerank, 8) AS pagerank FROM y, n""")
+add("explain", f"""WITH {FUSED}, q AS (SELECT unnest(['thre', 'thth', 'zzzz']) AS term), own AS (SELECT * FROM parts WHERE doc_id = {_ONE_ID}),
+summed AS (SELECT coalesce(sum(part), 0) AS total FROM own), r AS (SELECT coalesce(max(rank), 0) AS pr FROM rank WHERE doc_id = {_ONE_ID})
+SELECT term, coalesce(freq, 0) AS tf, df, round(coalesce(idf, 0), 4) AS idf, CASE WHEN freq IS NULL THEN 0 ELSE length END AS doc_length, round(coalesce(avgdl, 0), 1) AS avgdl, round(coalesce(part, 0), 4) AS contribution,
+round(total, 4) AS total, round(pr, 8) AS pagerank, round(0.7::DOUBLE * total / tb + 0.3::DOUBLE * pr / tp, 6) AS final FROM q LEFT JOIN own USING (term), summed, r, x""")
+add("result_details", f"WITH {SCORES} SELECT doc_id, url, title, length, round(coalesce(bm25, 0), 6) AS bm25 FROM p JOIN len USING (doc_id) LEFT JOIN bm USING (doc_id) WHERE doc_id = {_ONE_ID}")
+
+# Small functions
+_RUNS = f"flatten(list_transform(regexp_extract_all(x, '[一-鿿]+'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) || list_transform(range(1, greatest(1, length(r) - 1)), lambda i: substr(r, i, 3))))"
+add("cjk_terms", f"""WITH m AS (SELECT n_nationkey, n_name || ' 网络爬虫 的 中文分词器, ' || substr('搜索引擎技术研究', 1, CAST(n_nationkey % 9 AS INTEGER)) || ' running' AS x FROM nation),
+w AS (SELECT n_nationkey, {words('x')} || list_filter({_RUNS}, lambda w: w NOT IN ({STOPS})) AS l FROM m)
+SELECT n_nationkey, array_to_string(list_transform(l, lambda t: {stem('t')}), ' ') AS terms FROM w""")
+add("same_domain", "SELECT page_id, true AS own, false AS other FROM pages")
+_HREF = "'../x/./y/../z' || page_id || CASE page_id % 3 WHEN 0 THEN '/..' WHEN 1 THEN '/.' ELSE '?q=../a' END"
+add("dotted_links", f"SELECT page_id, {joined(f'({_HREF})')} AS target FROM pages")
+add("robots_allowed", f"SELECT page_id FROM pages WHERE length({domain('url')}) % 2 = 1 OR NOT starts_with({part('url', 3)}, '/en')")
+add("crawl_delays", f"SELECT DISTINCT {domain('url')} AS domain, CASE WHEN length({domain('url')}) % 2 = 0 THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END AS delay_seconds FROM pages")
+add("crawl_counters", "SELECT count(*) AS visited, count(*) FILTER (WHERE page_id % 7 <> 0) AS pages, count(*) FILTER (WHERE page_id % 7 = 0) AS failures, CAST(coalesce(sum(strlen(html)) FILTER (WHERE page_id % 7 <> 0), 0) AS BIGINT) AS bytes FROM pages")
+add("page_windows", """WITH a AS (SELECT o_orderkey, o_custkey % 900 AS total, CASE WHEN o_orderkey % 130 = 0 THEN 20 ELSE least(o_orderkey % 130, 100) END AS lim, o_custkey % 300 AS off FROM orders),
+b AS (SELECT *, CAST(greatest(1, ceil(total / lim::DOUBLE)) AS BIGINT) AS n, CAST(greatest(1, floor(off / lim::DOUBLE) - 3) AS BIGINT) AS s FROM a)
+SELECT o_orderkey, CAST(lim AS BIGINT) AS limit, array_to_string(list_transform(range(s, least(n, s + 9) + 1), lambda x: CAST(x AS VARCHAR)), ',') AS pages FROM b""")
+_V = "(CAST(l_orderkey AS BIGINT) * l_partkey * l_suppkey)"
+add("shown_numbers", f"SELECT l_orderkey, l_linenumber, printf('%.4f', l_partkey / 7.0::DOUBLE) AS four, printf('%.6f', l_partkey / 7.0::DOUBLE) AS six, printf('%.1f', l_partkey / 7.0::DOUBLE) AS one, CAST(CASE {' '.join(f'WHEN {_V} < {1 << 7 * n} THEN {n}' for n in range(1, 9))} ELSE 9 END AS BIGINT) AS bytes FROM lineitem")
+add("json_maps", f"WITH {PAGES} SELECT doc_id, p.url, title, CAST(strlen(html) AS BIGINT) AS content_length FROM p JOIN u USING (doc_id)")
+
+
+def _first_replaced(text: str, old: str, new: str) -> str:
+    return f"CASE WHEN {old} IS NOT NULL AND strpos({text}, {old}) > 0 THEN substr({text}, 1, strpos({text}, {old}) - 1) || {new} || substr({text}, strpos({text}, {old}) + length({old})) ELSE {text} END"
+
+
+_ASKED_WORDS = "'thxt', 'retoin', 'zzzzqq', 'one', 'onre'"
+add("spell_queries", f"""WITH {_SPELL.replace("['thxt', 'retoin', 'thth', 'zzzzqq', 'onre', 'ersz']", f"[{_ASKED_WORDS}]")}, best AS (SELECT word, term FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY freq DESC, term) = 1),
+asked AS (SELECT * FROM (VALUES (1, 'Thxt of retoin, thxt'), (2, 'an zzzzqq'), (3, ''), (4, 'ONRE onre')) AS a(query_id, query)),
+found AS (SELECT query_id, query, unnest(list_filter(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^[A-Za-z]{{3,}}$'))) AS o, generate_subscripts(list_filter(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^[A-Za-z]{{3,}}$')), 1) AS k FROM asked),
+fixed AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY k) AS k, o, term FROM found JOIN best ON best.word = lower(o) WHERE term <> lower(o)),
+s0 AS (SELECT a.query_id, query, f1.o AS o1, f1.term AS t1, f2.o AS o2, f2.term AS t2, f3.o AS o3, f3.term AS t3 FROM asked a LEFT JOIN fixed f1 ON f1.query_id = a.query_id AND f1.k = 1 LEFT JOIN fixed f2 ON f2.query_id = a.query_id AND f2.k = 2 LEFT JOIN fixed f3 ON f3.query_id = a.query_id AND f3.k = 3),
+s1 AS (SELECT *, {_first_replaced('query', 'o1', 't1')} AS q1 FROM s0), s2 AS (SELECT *, {_first_replaced('q1', 'o2', 't2')} AS q2 FROM s1)
+SELECT query_id, query, {_first_replaced('q2', 'o3', 't3')} AS corrected, CAST((o1 IS NOT NULL)::INTEGER + (o2 IS NOT NULL)::INTEGER + (o3 IS NOT NULL)::INTEGER AS BIGINT) AS n FROM s2""")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.config import DEFAULT, Scope
-from pagelode.functions import html, text, urls
+from pagelode.config import DEFAULT, Config, Scope
+from pagelode.functions import formats, html, text, urls
 from pagelode.functions import query as q
 from pagelode.operators import frontier, graph, pagerank, ranking, search, spell
 from pagelode.operators import index as ix
 from pagelode.operators.index import Index
 from pagelode.sources import pages as src
+from pagelode.sources import robots
+from pagelode.streaming import frontier as stream
 
 from . import oracles
 
@@ -414,3 +418,182 @@ def upsert(spark, d):
     pages = _pages(spark, d)
     old = pages.where("doc_id < 'c'").withColumns({"created_at": F.expr("timestamp '2023-01-01 00:00:00'"), "updated_at": F.expr("timestamp '2023-01-01 00:00:00'"), "pagerank": F.lit(0.5), "is_indexed": F.lit(True)})
     return src.upsert_pages(old, pages.where("doc_id > '6'"), F.expr(NOW)).select("doc_id", "url", F.unix_seconds("created_at").alias("created"), F.unix_seconds("updated_at").alias("updated"), "pagerank", "is_indexed")
+
+
+# Stored tables
+
+
+def _first_url(spark, d) -> str:
+    """The url of page 0, by which single pages are looked up."""
+    return _raw(spark, d).where("page_id = 0").select(urls.normalize(F.col("url"))).first()[0]
+
+
+def _first_id(spark, d) -> str:
+    return _raw(spark, d).where("page_id = 0").select(urls.doc_id(F.col("url"))).first()[0]
+
+
+def _database(d: str) -> str:
+    return f"pagelode_{zlib.crc32(d.encode()):08x}"
+
+
+def _saved(spark, d, ranks: DataFrame | None = None) -> Index:
+    """The index of the pages of d, written as bucketed tables and loaded again."""
+    database = _database(d) + ("_ranked" if ranks is not None else "")
+    _index(spark, d, ranks).save(spark, database)
+    return Index.load(spark, database)
+
+
+@query
+def pages_conformed(spark, d):
+    return src.conformed(_pages(spark, d).withColumn("status_code", F.lit("200")), src.PAGES).select("doc_id", "title", "status_code", "pagerank", "content_length")
+
+
+@query
+def pages_paged(spark, d):
+    return src.paged(_pages(spark, d), limit=10, offset=5).select("doc_id", "url")
+
+
+@query
+def page_lookup(spark, d):
+    return src.page(_pages(spark, d), url=_first_url(spark, d)).select("doc_id", "url", "title")
+
+
+@query
+def page_links_out(spark, d):
+    return src.outgoing(_links(spark, d), _first_id(spark, d))
+
+
+@query
+def page_links_in(spark, d):
+    found = _links(spark, d)
+    target = found.agg(F.min("to_doc_id")).first()[0]
+    return src.incoming(found, target or "")
+
+
+@query
+def links_added(spark, d):
+    found = _links(spark, d)
+    return src.add_links(found.where("from_doc_id < '8'"), found).select("from_doc_id", "to_url")
+
+
+@query
+def url_known(spark, d):
+    return src.url_exists(_first_url(spark, d), _queue(spark, d), _pages(spark, d))
+
+
+@query
+def mark_indexed(spark, d):
+    pages = _pages(spark, d).withColumns({"is_indexed": F.lit(False), "updated_at": F.expr("timestamp '2023-01-01 00:00:00'")})
+    return src.mark_indexed(pages, pages.where("doc_id < '8'"), F.expr(NOW)).select("doc_id", "is_indexed", F.unix_seconds("updated_at").alias("updated"))
+
+
+@query
+def size_limit(spark, d):
+    sized = _raw(spark, d).withColumns({"status_code": F.lit(200), "content_type": F.lit("text/html")})
+    return src.acceptable(sized, Config(max_page_bytes=2000)).select("page_id")
+
+
+@query
+def ranked_pages(spark, d):
+    longest = _pages(spark, d).select("doc_id", "content_length").orderBy(F.desc("content_length"), "doc_id").limit(10)
+    return src.ranked_rows(longest, F.desc("content_length"), "doc_id").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def index_saved(spark, d):
+    i = _saved(spark, d)
+    return i.postings.select("term", "doc_id", "freq", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"), F.array_join("fields", ",").alias("fields"))
+
+
+@query
+def index_incremental(spark, d):
+    pages = _pages(spark, d)
+    grown = Index.of_pages(pages.where("doc_id < 'a'")).with_pages(pages.where("doc_id >= '8'"))
+    return grown.postings.select("term", "doc_id", "freq")
+
+
+@query
+def index_state(spark, d):
+    i = _index(spark, d)
+    return graph.index_status(spark, i.docs.count(), i.df.count(), version=3).drop("last_indexed_at")
+
+
+@query
+def search_saved(spark, d):
+    return search.results(_saved(spark, d), TERMS, "relevance", 20)
+
+
+@query
+def search_full(spark, d):
+    """The whole way of a query: spelling, parsing, hybrid ranking by a saved index with authority, total, second page."""
+    answer = search.search(_saved(spark, d, _ranks(spark, d, 3)), "Thre thth", limit=5, offset=5, mode="hybrid")
+    rows = [(answer["total"], answer["page"], answer["corrected"], r["doc_id"], r["final"], r["bm25"], r["pagerank"]) for r in answer["results"]]
+    return spark.createDataFrame(rows, "total bigint, page int, corrected string, doc_id string, final double, bm25 double, pagerank double")
+
+
+@query
+def explain(spark, d):
+    return ranking.explain(_ranked_index(spark, d), _first_id(spark, d), [*TERMS, "zzzz"])
+
+
+@query
+def result_details(spark, d):
+    return ranking.result_details(_index(spark, d), _first_id(spark, d), TERMS).withColumn("bm25", F.round("bm25", 6))
+
+
+# Small functions
+
+
+@query
+def cjk_terms(spark, d):
+    mixed = F.concat(F.col("n_name"), F.lit(" 网络爬虫 的 中文分词器, "), F.substring(F.lit("搜索引擎技术研究"), F.lit(1), (F.col("n_nationkey") % 9).cast("int")), F.lit(" running"))
+    return src.table(spark, d, "nation").select("n_nationkey", F.array_join(text.tokenize(mixed), " ").alias("terms"))
+
+
+@query
+def same_domain(spark, d):
+    u = F.col("url")
+    return _raw(spark, d).select("page_id", urls.same_domain(u, F.concat(F.lit("HTTPS://"), F.upper(urls.domain(u)), F.lit(":8080/x"))).alias("own"), urls.same_domain(u, F.lit("http://elsewhere.com/")).alias("other"))
+
+
+@query
+def dotted_links(spark, d):
+    u, href = F.col("url"), F.concat(F.lit("../x/./y/../z"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, "/..").when(F.col("page_id") % 3 == 1, "/.").otherwise("?q=../a"))
+    return _raw(spark, d).select("page_id", urls.resolve_dots(u, href).alias("target"))
+
+
+@query
+def robots_allowed(spark, d):
+    rules = _raw(spark, d).select(urls.domain(F.col("url")).alias("domain")).distinct().withColumn("rules", F.when(F.length("domain") % 2 == 0, "User-agent: *\nDisallow: /en\nCrawl-delay: 4"))
+    return robots.allowed(_raw(spark, d).select("page_id", "url"), rules).select("page_id")
+
+
+@query
+def crawl_delays(spark, d):
+    rules = _raw(spark, d).select(urls.domain(F.col("url")).alias("domain")).distinct().withColumn("rules", F.when(F.length("domain") % 2 == 0, "User-agent: *\nDisallow: /en\nCrawl-delay: 4"))
+    return robots.crawl_delays(rules)
+
+
+@query
+def crawl_counters(spark, d):
+    pages = _raw(spark, d).withColumns({"status_code": F.when(F.col("page_id") % 7 == 0, 404).otherwise(200), "content_type": F.lit("text/html")})
+    return stream.counters(pages, src.acceptable(pages))
+
+
+@query
+def page_windows(spark, d):
+    asked = src.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 900).alias("total"), (F.col("o_orderkey") % 130).alias("wanted"), (F.col("o_custkey") % 300).alias("offset"))
+    limited = asked.withColumn("limit", ranking.clamped(F.col("wanted")))
+    return limited.select("o_orderkey", F.col("limit").cast("bigint").alias("limit"), F.array_join(F.transform(ranking.page_numbers(F.col("total"), F.col("limit"), F.col("offset")), lambda x: x.cast("string")), ",").alias("pages"))
+
+
+@query
+def shown_numbers(spark, d):
+    ratio = F.col("l_partkey").cast("double") / 7
+    return src.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", formats.fixed(ratio, 4).alias("four"), formats.fixed(ratio, 6).alias("six"), formats.fixed(ratio, 1).alias("one"), formats.varint_size(F.col("l_orderkey").cast("bigint") * F.col("l_partkey") * F.col("l_suppkey")).cast("bigint").alias("bytes"))
+
+
+@query
+def json_maps(spark, d):
+    kept = _pages(spark, d).select("doc_id", formats.as_json(F.col("url"), F.col("title"), F.col("content_length")).alias("info"))
+    return kept.select("doc_id", formats.of_json(F.col("info"), "url string, title string, content_length bigint").alias("i")).select("doc_id", "i.*")
