@@ -8,15 +8,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import sliced, table
 
 #: Buckets that n-grams of bytes are hashed to.
-FEATURES = 1 << 12
-#: Labelled documents that the classifiers learn from, at most, in all; languages, at most, by frequency.
-SAMPLE, LANGUAGES = 1600, 64
+FEATURES = 1 << 13
+#: Labelled documents that the classifiers learn from, at most, in all; but so many of each language, however many there are.
+SAMPLE, OF_EACH = 1600, 20
 UNDETERMINED = "und"
 #: Families of ISO 639 codes; a language that is in none is in "other".
 FAMILIES = {
@@ -45,63 +44,92 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), sizes)
     x = np.concatenate([x, np.full(2, 32, np.uint8)]).astype(np.uint32)
     a, b, c = x[:-2], x[1:-1], x[2:]
-    three = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F) >> np.uint32(20)
+    three = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F) >> np.uint32(33 - FEATURES.bit_length())
     # Three blanks in a row say nothing; they also stand where texts meet.
     told = (a != 32) | ((b != 32) & (c != 32)) | ((b != 32) & (a == 32))
     return three[told].astype(np.int64), owner[told]
 
 
+class Sparse:
+    """Rows of (feature, value), each with a bias of 1 as its last feature."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.size = np.array([len(i) + 1 for i, _ in rows])
+        self.begin = np.cumsum(self.size) - self.size
+        self.feature = np.concatenate([np.append(i, FEATURES) for i, _ in rows]).astype(np.int32)
+        self.value = np.concatenate([np.append(v, 1) for _, v in rows]).astype(np.float32)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.value * w[self.feature], self.begin)
+
+    def turned(self, v: np.ndarray) -> np.ndarray:
+        """The product of the transposed rows with v."""
+        return np.bincount(self.feature, self.value * np.repeat(v, self.size), FEATURES + 1).astype(np.float32)
+
+
 class Linear:
     """A linear SVM with squared hinge loss, by Nesterov's accelerated descent over the whole sample."""
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 120) -> np.ndarray:
+    def fit(x: Sparse, y: np.ndarray, c: float = 10.0, steps: int = 120) -> np.ndarray:
         """Weights, the last one a bias; y is +1 or -1."""
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
         weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-        top = np.ones(x.shape[1], np.float32)
+        top = np.ones(FEATURES + 1, np.float32)
         for _ in range(12):  # the largest eigenvalue bounds the step
-            top = x.T @ (weight * (x @ top))
+            top = x.turned(weight * x.dot(top))
             norm = float(np.linalg.norm(top)) or 1.0
             top /= norm
         rate = 1.0 / (1.0 + 2.2 * c * norm)
-        w, before = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+        w, before = np.zeros(FEATURES + 1, np.float32), np.zeros(FEATURES + 1, np.float32)
         for k in range(steps):
             at = w + (k / (k + 3)) * (w - before)
-            slack = np.maximum(0, 1 - y * (x @ at))
-            before, w = w, at - rate * (at - 2 * c * (x.T @ (weight * y * slack)))
+            slack = np.maximum(0, 1 - y * x.dot(at))
+            before, w = w, at - rate * (at - 2 * c * x.turned(weight * y * slack))
         return w
 
 
 class Model:
-    """Languages by family; one column of weights per family and per pair of languages within one."""
-
-    def __init__(self, counts: np.ndarray, labels: list[str]):
-        self.languages = sorted(set(labels))
-        self.families = sorted({family(x) for x in self.languages})
-        self.members = {f: [x for x in self.languages if family(x) == f] for f in self.families}
-        self.pairs = [(a, b) for f in self.families for a, b in combinations(self.members[f], 2)]
-        label = np.array(labels)
-        of_family = np.array([family(x) for x in labels])
-        share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-        scale = 1 / np.sqrt(share.mean(0) + 1e-6)
-        x = (share * scale).astype(np.float32)
-        columns = []
-        for f in self.families if len(self.families) > 1 else []:
-            columns.append(Linear.fit(x, np.where(of_family == f, 1, -1).astype(np.float32)))
-        for a, b in self.pairs:
-            mine = (label == a) | (label == b)
-            columns.append(Linear.fit(x[mine], np.where(label[mine] == a, 1, -1).astype(np.float32)))
-        w = np.stack(columns, 1) if columns else np.zeros((FEATURES + 1, 0), np.float32)
-        self.weights, self.bias = (w[:-1] * scale[:, None]).astype(np.float32), w[-1]
+    """Languages by family; one row of weights per family and per pair of languages within one.
+
+    ``state`` is what a model consists of, in plain lists and arrays: it is broadcast, as executors need not have this class."""
+
+    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray):
+        self.state = languages, weights, bias
+        self.languages, self.weights, self.bias = languages, weights, bias
+        self.families, self.members, self.pairs = self.tasks(languages)
+
+    @staticmethod
+    def tasks(languages: list[str]) -> tuple[list[str], dict[str, list[str]], list[tuple[str, str]]]:
+        families = sorted({family(x) for x in languages})
+        members = {f: [x for x in languages if family(x) == f] for f in families}
+        return families, members, [(a, b) for f in families for a, b in combinations(members[f], 2)]
+
+    @classmethod
+    def fit(cls, counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) -> Model:
+        """The model of texts given as (features, how often each), and their labels."""
+        languages = sorted(set(labels))
+        families, _, pairs = cls.tasks(languages)
+        shares = [(i, n / max(1, n.sum())) for i, n in counts]
+        mean = np.bincount(np.concatenate([i for i, _ in shares]), np.concatenate([v for _, v in shares]), FEATURES) / len(shares)
+        scale = 1 / np.sqrt(mean + 1e-6)
+        rows = [(i, v * scale[i]) for i, v in shares]
+        label, of_family = np.array(labels), np.array([family(x) for x in labels])
+        found, whole = [], Sparse(rows)
+        for f in families if len(families) > 1 else []:
+            found.append(Linear.fit(whole, np.where(of_family == f, 1, -1).astype(np.float32)))
+        for a, b in pairs:
+            mine = np.flatnonzero((label == a) | (label == b))
+            found.append(Linear.fit(Sparse([rows[k] for k in mine]), np.where(label[mine] == a, 1, -1).astype(np.float32)))
+        w = np.stack(found) if found else np.zeros((0, FEATURES + 1), np.float32)
+        return cls(languages, (w[:, :-1] * scale).astype(np.float32), w[:, -1].copy())
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of texts that have letters."""
         gram, owner = _grams(texts)
-        margin = np.zeros((len(texts), self.weights.shape[1]))
+        margin = np.zeros((len(texts), len(self.weights)))
         size = np.bincount(owner, minlength=len(texts))
-        for k in range(self.weights.shape[1]):
-            margin[:, k] = np.bincount(owner, self.weights[:, k][gram], len(texts)) / np.maximum(size, 1) + self.bias[k]
+        for k, weights in enumerate(self.weights):
+            margin[:, k] = np.bincount(owner, weights[gram], len(texts)) / np.maximum(size, 1) + self.bias[k]
         n = len(self.families) if len(self.families) > 1 else 0
         if n:
             e = np.exp(np.clip(3 * margin[:, :n], -50, 50))
@@ -133,21 +161,22 @@ def _features(texts: list[str]) -> np.ndarray:
     return np.bincount(owner * FEATURES + gram, minlength=len(texts) * FEATURES).reshape(len(texts), FEATURES)
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
+def learn(labelled: DataFrame, sample: int = SAMPLE, of_each: int = OF_EACH) -> Model | None:
     """A model of the labelled rows (text, lang), or None if no labelled text has letters.
 
-    It learns from at most ``sample`` rows, as many of each of the ``languages`` most frequent languages: those whose hashes are
-    the smallest. Hashes are cut at a bound per language, so that only the sample's texts travel; they come to the driver as counts."""
+    It learns every language that occurs, from at most ``sample`` rows, as many of each language, or ``of_each`` of each where that is more: those
+    whose hashes are the smallest. How many different texts a language has bounds the hashes that can be among them, so
+    few more rows than the sample's travel, whatever the share of a language; they come to the driver as counts of features."""
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not common:
+    different = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    if not different:
         return None
-    each = max(2, sample // len(common))
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    cuts = rows.where(F.col("lang").isin([r[0] for r in common])).select("lang", "h").distinct().withColumn("r", place).where(F.col("r") <= each).groupBy("lang").agg(F.max("h").alias("cut"))
-    cut = F.lit(None).cast("bigint")
-    for r in cuts.collect():
-        cut = F.when(F.col("lang") == r["lang"], F.lit(r["cut"])).otherwise(cut)
+    each = max(of_each, sample // len(different))
+    bound = F.lit(None).cast("bigint")
+    for k, r in enumerate(different):
+        share = min(1.0, 1.15 * (each + 4 * each**0.5) / max(1, r["n"]))
+        last = F.lit(min(2**63 - 1, int(2**64 * share) - 2**63))
+        bound = F.when(F.col("lang") == r["lang"], last) if k == 0 else bound.when(F.col("lang") == r["lang"], last)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -157,16 +186,24 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES)
                 kept = made.sum(1) > 0
                 which = [np.flatnonzero(m).astype(np.int16) for m in made[kept]]
                 much = [m[i].astype(np.int32) for m, i in zip(made[kept], which)]
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(kept)), pa.array([i.tobytes() for i in which], pa.binary()), pa.array([c.tobytes() for c in much], pa.binary())], ["lang", "which", "much"])
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(kept)) for k in (0, 2)] + [pa.array([i.tobytes() for i in which], pa.binary()), pa.array([c.tobytes() for c in much], pa.binary())], ["lang", "h", "which", "much"])
 
-    chosen = rows.where(F.col("h") <= cut).dropDuplicates(["h", "lang"]).select("lang", "text").mapInArrow(count, "lang string, which binary, much binary").collect()
-    if not chosen:
-        return None
-    chosen.sort(key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
-    counts = np.zeros((len(chosen), FEATURES), np.float32)
-    for k, r in enumerate(chosen):
-        counts[k, np.frombuffer(r["which"], np.int16)] = np.frombuffer(r["much"], np.int32)
-    return Model(counts, [r["lang"] for r in chosen])
+    due = rows.where(F.col("h") <= bound).dropDuplicates(["h", "lang"]).select("lang", "text", "h")
+    found = due.mapInArrow(count, "lang string, h bigint, which binary, much binary").collect()
+    room: dict[str, int] = {}
+    counts, labels = [], []
+    for r in sorted(found, key=lambda r: (r["h"], r["lang"])):
+        room[r["lang"]] = room.get(r["lang"], each) - 1
+        if room[r["lang"]] >= 0:
+            counts.append((np.frombuffer(r["which"], np.int16), np.frombuffer(r["much"], np.int32)))
+            labels.append(r["lang"])
+    return Model.fit(counts, labels) if labels else None
+
+
+def _shared(docs: DataFrame, model: Model | None):
+    """A function that gives the model, on executors."""
+    state = docs.sparkSession.sparkContext.broadcast(model and model.state)
+    return lambda: state.value and Model(*state.value)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -175,10 +212,10 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
     Null and empty texts and texts without a letter are ``und`` with score 0, as is everything without a model.
     Rows are independent of each other: repeated rows and ids, ties and other columns do no harm. An empty table gives an empty one."""
     kept = docs.select(*keep).schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for b in sliced(batches, "_text"):
             said, score = [UNDETERMINED] * b.num_rows, np.zeros(b.num_rows)
             text = b.column(len(keep)).to_pylist()
@@ -198,11 +235,11 @@ def accepted(docs: DataFrame, model: Model | None, least: float = 0.2) -> DataFr
     """docs without the rows whose language cannot be told: ``und``, or a score under ``least``. All columns stay.
 
     Without a model (no labelled text has letters) there is nothing to tell by, and rows with letters stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for b in sliced(batches):
             text = b.column(at).to_pylist()
             able = [k for k, t in enumerate(text) if t and any(map(str.isalpha, t))]
