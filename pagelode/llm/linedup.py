@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import sliced, table, texts
+from .common import checkpointed, sliced, table, texts, unused
 from .hashes import Words, mixed, odd
 
 #: Words in which a line has at least one cut.
@@ -18,8 +18,8 @@ WINDOW = 16
 #: Least words of a run of repeated units that is removed.
 LEAST_WORDS = 16
 
-_UNITS = pa.schema([("_row", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n", pa.int32()), ("whole", pa.bool_())])
-_UNITS_DDL = "_row bigint, d1 bigint, d2 bigint, unit int, start int, stop int, n int, whole boolean"
+_FIRST = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("more", pa.bool_())])
+_UNITS = pa.schema([("row", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n", pa.int32()), ("whole", pa.bool_()), ("again", pa.bool_())])
 
 
 def units(texts: list[str], window: int = WINDOW):
@@ -64,15 +64,53 @@ def _cut(texts: list[str], window: int):
     return text, start - base[text], stop - base[text], size, d1, d2, whole
 
 
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "bigint", pa.int32(): "int", pa.bool_(): "boolean"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _distinct(text: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of units in order: those whose digests their text did not have before, and of these, those that it has again."""
+    order = np.lexsort((np.arange(len(text)), d2, d1, text))
+    t, x, y = text[order], d1[order], d2[order]
+    first = np.ones(len(t), bool)
+    first[1:] = (t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    more = np.zeros(len(t), bool)
+    more[:-1] = ~first[1:]
+    new, again = np.zeros(len(t), bool), np.zeros(len(t), bool)
+    new[order], again[order] = first, first & more
+    return new, again
+
+
+def _firsts(rows: DataFrame, window: int) -> DataFrame:
+    """(d1, d2, doc, row, more): the different units of each text; more: the text has it again."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            text, _, _, _, d1, d2, _ = _cut(texts(b), window)
+            new, again = _distinct(text, d1, d2)
+            at = pa.array(text[new])
+            yield pa.RecordBatch.from_arrays([pa.array(d1[new].view(np.int64)), pa.array(d2[new].view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(again[new])], schema=_FIRST)
+
+    return rows.mapInArrow(make, _ddl(_FIRST))
+
+
 def _units(rows: DataFrame, window: int) -> DataFrame:
+    """Every unit of each row, with its number, offsets, words, whether it is a whole line, and whether its text had it before."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             text, start, stop, size, d1, d2, whole = _cut(texts(b), window)
             number = np.arange(len(text)) - np.searchsorted(text, text)
             narrow = [pa.array(x.astype(np.int32)) for x in (number, start, stop, size)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *narrow, pa.array(whole)], schema=_UNITS)
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(text)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *narrow, pa.array(whole), pa.array(~_distinct(text, d1, d2)[0])], schema=_UNITS)
+
+    return rows.mapInArrow(make, _ddl(_UNITS))
+
 
-    return rows.mapInArrow(make, _UNITS_DDL)
+def _row_of():
+    """What tells rows apart: a hash of doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), "text")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, whole_lines: bool = False) -> DataFrame:
@@ -80,25 +118,33 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, least_words: int = LEA
 
     Digests of all units are grouped over all documents; the occurrence that is first by doc_id and place is
     kept, the others are repeats. Neighbouring repeats of one document make a passage, which is listed if it has
-    at least ``least_words`` words; with ``whole_lines``, repeated whole lines are listed at any length. A null doc_id ranks first. Rows with one doc_id are one document: of equal
-    units at one place, all are the first. Documents without such passages have no row here."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("_row"), "text").where("text is not null")
-    every = _units(rows, window)
-    rank = F.struct(F.col("_row").alias("r"), F.col("unit").alias("u"))
-    first = every.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("_last")).where("first <> _last").drop("_last")
-    again = every.join(first, ["d1", "d2"]).where(~F.struct(F.col("_row").alias("r"), F.col("unit").alias("u")).eqNullSafe(F.col("first")))
+    at least ``least_words`` words; with ``whole_lines``, repeated whole lines are listed at any length. Which digests repeat is
+    found first, with a minimum summed before the shuffle; a frequent one's occurrences are then split over tasks by the
+    adaptive join. A null doc_id ranks first. Rows with one doc_id and different texts are documents of their own, in a fixed
+    order; rows equal in both are one. Documents without such passages have no row here."""
+    found = _spans(docs, window, least_words, whole_lines)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row_of().alias("row")).distinct()
+    return rows.join(found, "row").select("doc_id", "spans")
+
+
+def _spans(docs: DataFrame, window: int, least_words: int, whole_lines: bool) -> DataFrame:
+    """(row, spans) of repeated_spans, by _row_of()."""
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc"), _row_of().alias("row"), "text")
+    rank = F.struct("doc", "row")
+    first = _firsts(rows, window).groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.max("more").alias("more"))
+    first = checkpointed(first.where("first <> last or more").select("d1", "d2", F.col("first.row").alias("holder")))
+    own = _units(rows, window).join(first, ["d1", "d2"]).where("row <> holder or again").select("row", "unit", "start", "stop", "n", "whole").dropDuplicates(["row", "unit"])
     # Runs of neighbouring repeats, within one document.
-    own = again.select("_row", "unit", "start", "stop", "n", "whole").dropDuplicates(["_row", "unit", "start"])
-    by = W.partitionBy("_row").orderBy("unit", "start")
+    by = W.partitionBy("row").orderBy("unit")
     run = own.withColumn("g", F.col("unit") - F.row_number().over(by))
     if whole_lines:
         # Of a run with fewer words its whole lines stay, which are runs anew.
-        long = F.sum("n").over(W.partitionBy("_row", "g")) >= least_words
+        long = F.sum("n").over(W.partitionBy("row", "g")) >= least_words
         kept = run.withColumn("long", long).where("long or whole")
         run = kept.withColumn("g", F.col("unit") - F.row_number().over(by))
         least_words = 1
-    runs = run.groupBy("_row", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("words")).where(F.col("words") >= least_words)
-    return runs.groupBy(F.col("_row").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "words"))).alias("spans"))
+    runs = run.groupBy("row", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("words")).where(F.col("words") >= least_words)
+    return runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "words"))).alias("spans"))
 
 
 def without_spans(text, spans):
@@ -112,17 +158,18 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, least_words: int = LEA
     """docs with spans (empty without repeats) and kept_text, the text without its repeated passages.
 
     A null text stays null; offsets in spans are those of the text as it was. All rows and other columns stay."""
-    spans = repeated_spans(docs, window, least_words, whole_lines).withColumnRenamed("doc_id", "_doc")
+    spans = _spans(docs, window, least_words, whole_lines)
     none = F.array().cast("array<struct<start:int,stop:int,words:bigint>>")
-    joined = docs.drop("spans", "kept_text").join(spans, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    docs = docs.drop("spans", "kept_text")
+    row = unused(docs.columns, "row")
+    joined = docs.withColumn(row, _row_of()).join(spans.withColumnRenamed("row", row), row, "left").drop(row)
     return joined.withColumn("kept_text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("spans")))).withColumn("spans", F.coalesce("spans", none))
 
 
 def op6_linedup(spark, sf_dir: str) -> DataFrame:
     """Every document with the offsets of the passages that an earlier document (or place) has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = repeated_spans(docs, whole_lines=True).withColumnRenamed("doc_id", "_doc")
-    out = docs.select("doc_id").join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    n = F.coalesce(F.size("spans"), F.lit(0)).cast("bigint")
-    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["stop"] - s["start"])
-    return out.select("doc_id", F.when(F.col("spans").isNull(), F.lit(0).cast("bigint")).otherwise(n).alias("n_repeats"), F.coalesce(removed, F.lit(0).cast("bigint")).alias("removed_chars"), "spans")
+    out = docs.select("doc_id", _row_of().alias("row")).join(_spans(docs, WINDOW, LEAST_WORDS, True), "row", "left")
+    zero = F.lit(0).cast("bigint")
+    removed = F.aggregate("spans", zero, lambda a, s: a + s["stop"] - s["start"])
+    return out.select("doc_id", F.when(F.col("spans").isNull(), zero).otherwise(F.size("spans").cast("bigint")).alias("n_repeats"), F.coalesce(removed, zero).alias("removed_chars"), "spans")
