@@ -118,15 +118,15 @@ def maybe_among(keys: DataFrame) -> Callable:
     return among
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in slices of bounded bytes of text; a single text may be larger."""
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``most`` bytes of text; a single text may be larger."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
         sizes = batch.column(at)
         lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         begin = total = 0
         for k, n in enumerate(lengths):
-            if total and total + n > SLICE_BYTES:
+            if total and total + n > most:
                 yield batch.slice(begin, k - begin)
                 begin, total = k, 0
             total += int(n)
@@ -143,13 +143,13 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Bytes of UTF-8: A-Z lower-cased, the white space of the word definition made a space.
-_WORD_BYTES = bytes(32 if b == 0x20 or 0x09 <= b <= 0x0D else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes of UTF-8, A-Z lower-cased.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def words(text: str) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z lower-cased, as UTF-8."""
-    return [w for w in text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split(b" ") if w]
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z lower-cased, as UTF-8. Bytes split at this very white space."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
 def frequent(counts: DataFrame, n: str, most: int) -> DataFrame:

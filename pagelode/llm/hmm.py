@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +15,24 @@ from pyspark.sql import functions as F
 from .common import checkpointed, frequent, sliced, table, texts, words
 from .langid import held_out
 
-#: Latent states; rounds of Baum-Welch; tokens that have an emission of their own; longest such token, in bytes.
-STATES, ROUNDS, HEAD, HEAD_BYTES = 4, 3, 1 << 18, 48
+#: Latent states; rounds of Baum-Welch; tokens that have an emission of their own; longest token that stands for itself, in bytes.
+STATES, ROUNDS, HEAD, PLAIN_BYTES = 4, 3, 1 << 18, 48
 #: Classes that all other tokens fall in, by a hash; added to every count; tokens of a training segment.
 CLASSES, SMOOTH, SEGMENT = 64, 0.1, 128
-#: Different tokens that a task counts before it hands them on.
-COUNTED = 400_000
+#: Different tokens that a task counts before it hands them on; bytes of text whose recursions go side by side.
+COUNTED, AT_ONCE = 400_000, 4 << 20
+
+
+def _tokens(text: str) -> list[bytes]:
+    """The words of a text; a long one as two spaces, which no word has, and a digest of 128 bits."""
+    found = words(text)
+    if max(map(len, found), default=0) > PLAIN_BYTES:
+        found = [w if len(w) <= PLAIN_BYTES else b"  " + blake2b(w, digest_size=16).digest() for w in found]
+    return found
 
 
 def _class_of(token: bytes) -> int:
-    """The class of a token without an emission of its own: its length and last byte, mixed."""
+    """The class of a token without an emission of its own: its length, first and last byte, mixed."""
     return (len(token) * 31 + token[-1] * 7 + token[0]) % CLASSES
 
 
@@ -36,9 +45,9 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["token", "c"])
 
-        for b in sliced(batches):
+        for b in sliced(batches, most=AT_ONCE):
             for t in texts(b):
-                seen.update(words(t))
+                seen.update(_tokens(t))
             if len(seen) > COUNTED:
                 yield out()
                 seen.clear()
@@ -56,23 +65,36 @@ class Model:
 
     def __init__(self, head: list[tuple[bytes, int]], rest: dict[int, int], texts: int, tokens: int, distinct: int, states: int, seed: int = 3):
         self.number = {t: k for k, (t, _) in enumerate(head)}
-        self.counts = [c for _, c in head]
+        self.counts = np.array([c for _, c in head], np.int64)
         self.end = len(head) + CLASSES
         self.texts, self.tokens, self.distinct = texts, tokens, distinct
-        seen = np.array([*self.counts, *[rest.get(k, 0) for k in range(CLASSES)], texts], np.float64) + SMOOTH
+        seen = np.concatenate([self.counts, [rest.get(k, 0) for k in range(CLASSES)], [texts]]).astype(np.float64) + SMOOTH
         draw = np.random.default_rng(seed)
         emit = seen[:, None] * draw.exponential(1.0, (len(seen), states))
         self.emit = (emit / emit.sum(0)).astype(np.float32)
         move = draw.uniform(0.5, 1.5, (states, states)) + 12 * np.eye(states)  # states that last find languages and styles
         self.move = (move / move.sum(1, keepdims=True)).astype(np.float32)
-        self.start = np.full(states, 1 / states, np.float32)
+        self.start = self.share = np.full(states, 1 / states, np.float32)
+
+    def shared(self, spark, *names: str):
+        """A function that gives a model of these attributes, on executors.
+
+        Attributes are plain values and arrays: they are broadcast, as executors need not have this class."""
+        state = spark.sparkContext.broadcast({n: getattr(self, n) for n in names})
+
+        def model() -> Model:
+            made = Model.__new__(Model)
+            made.__dict__.update(state.value)
+            return made
+
+        return model
 
     def symbols(self, tokens: list[bytes]) -> np.ndarray:
         """The symbols of a text, with its end."""
-        number, first = self.number.get, self.end - CLASSES
-        out = [number(t, -1) for t in tokens]
-        if min(out, default=0) < 0:
-            out = [first + _class_of(t) if n < 0 else n for n, t in zip(out, tokens)]
+        first = self.end - CLASSES
+        out = list(map(self.number.get, tokens))
+        if None in out:
+            out = [first + _class_of(t) if n is None else n for n, t in zip(out, tokens)]
         return np.array([*out, self.end], np.int32)
 
     def log10_likelihoods(self, sequences: list[np.ndarray]) -> np.ndarray:
@@ -154,14 +176,14 @@ def _segments(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model of all rows of docs (text), and the (token, c) table, which stays distributed.
 
-    The ``head`` most frequent short tokens have emissions of their own; the rest fall in classes. Each
+    The ``head`` most frequent tokens have emissions of their own; the rest fall in classes. Each
     round of Baum-Welch reads all training texts, cut in segments of bounded length; tasks sum their expected counts per
     symbol, and the driver gets those sums: one row for each symbol, a bounded number."""
     counts = checkpointed(count_tokens(docs))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_texts = docs.count()
-    short = frequent(counts.where(F.octet_length("token") <= HEAD_BYTES), "c", head)
-    top = sorted(((bytes(r["token"]), r["c"]) for r in short.collect()), key=lambda x: (-x[1], x[0]))
+    chosen = frequent(counts, "c", head).toArrow()
+    top = sorted(zip(chosen.column("token").to_pylist(), chosen.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
     length, byte = F.octet_length("token"), lambda at: F.conv(F.hex(F.substring("token", at, 1)), 16, 10).cast("int")
     classes = counts.withColumn("k", (length * 31 + byte(-1) * 7 + byte(1)) % CLASSES).groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     rest, kinds = {r["k"]: r["c"] for r in classes}, {r["k"]: r["n"] for r in classes}
@@ -174,7 +196,6 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head: int
     model.class_totals = [rest.get(k, 0) + SMOOTH * (kinds.get(k, 0) + 1) for k in range(CLASSES)]
     if not n_texts:
         return model, counts
-    model.share = model.start.copy()
     coded = checkpointed(_coded(docs, model))
     for _ in range(rounds):
         _improve(coded, model)
@@ -183,12 +204,12 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head: int
 
 def _coded(docs: DataFrame, model: Model) -> DataFrame:
     """Every text's symbols, so that rounds do not split texts anew."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession, "number", "end")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = pa.Codec("zstd", compression_level=1)
-        for b in sliced(batches):
-            coded = [shared.value.symbols(words(t)) for t in texts(b)]
+        model, squeeze = shared(), pa.Codec("zstd", compression_level=1)
+        for b in sliced(batches, most=AT_ONCE):
+            coded = [model.symbols(_tokens(t)) for t in texts(b)]
             flat = np.concatenate(coded)
             yield pa.RecordBatch.from_arrays([pa.array([np.array([len(c) for c in coded], np.int64).tobytes()], pa.binary()), pa.array([len(flat)], pa.int64()), pa.array([squeeze.compress(flat.tobytes(), asbytes=True)], pa.binary())], ["lengths", "total", "symbols"])
 
@@ -197,12 +218,12 @@ def _coded(docs: DataFrame, model: Model) -> DataFrame:
 
 def _improve(coded: DataFrame, model: Model) -> None:
     """One round of Baum-Welch."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(coded.sparkSession, "emit", "move", "start", "share")
     k, symbols = len(model.start), model.end + 1
     columns = [f"s{j}" for j in range(k)]
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         emissions, moves, starts, any_rows = np.zeros((symbols, k)), np.zeros((k, k)), np.zeros(k), False
         squeeze = pa.Codec("zstd")
         for lengths, total, data in ((x[0], x[1], x[2]) for b in batches for x in zip(*(c.to_pylist() for c in b.columns))):
@@ -221,8 +242,9 @@ def _improve(coded: DataFrame, model: Model) -> None:
 
     sums = coded.mapInArrow(expect, "symbol int, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns])
     got = np.zeros((symbols + k + 1, k))
-    for r in sums.collect():
-        got[r[0]] = r[1:]
+    summed = sums.toArrow()
+    for j, c in enumerate(columns):
+        got[summed.column("symbol").to_numpy(), j] = summed.column(c).to_numpy()
     emit = got[:symbols] + SMOOTH
     model.emit = (emit / emit.sum(0)).astype(np.float32)
     move = got[symbols : symbols + k] + 1
@@ -243,21 +265,20 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
     A null or empty text is its end alone. Tokens that training never saw have a count of 0 everywhere. Very
     long texts and tokens are scored whole. Repeated rows and ids are scored row by row; other columns are
     ignored; an empty table gives an empty table; without training texts all counts are 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession, "number", "counts", "end", "texts", "emit", "move", "start")
     n, base = model.tokens, math.log10
     under = n + SMOOTH * (model.distinct + 1)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        logs = [base((c + SMOOTH) / under) for c in model.counts]
+        model = shared()
         end_log = base((model.texts + SMOOTH) / under)
-        for b in sliced(batches):
-            split = [words(t) for t in texts(b)]
+        log = np.concatenate([np.log10((model.counts + SMOOTH) / under), [0.0] * CLASSES, [end_log]])
+        for b in sliced(batches, most=AT_ONCE):
+            split = [_tokens(t) for t in texts(b)]
             coded = [model.symbols(w) for w in split]
             likely = model.log10_likelihoods(coded) if coded else np.empty(0)
             first = model.end - CLASSES
-            log = np.array([*logs, *[0.0] * CLASSES, end_log])
             base_score = [float(log[s].sum()) for s in coded]
             n_head = [int((s < first).sum()) + (model.texts > 0) for s in coded]
             rest_rows, rest_tokens, rest_n = [], [], []
@@ -269,7 +290,7 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
                         rest_n.append(m)
             ids = b.column(2)
             m, r = b.num_rows, len(rest_rows)
-            # A text's own row has a key that no token has (it holds a space) and that spreads.
+            # A text's own row has a key that no token has (it holds one space) and that spreads.
             keys = [b" %d" % x for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
