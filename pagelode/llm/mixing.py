@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, unused
 
 #: Weights that sources get in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -16,31 +16,35 @@ MOST = 3
 FAN_IN = 256
 
 
+def _numbered(totals: DataFrame) -> DataFrame:
+    """totals with place: the number of each source from 0 in order of code points, null last.
+
+    Sources are dealt out by ranges and numbered in each; only how many each range has meets in one task."""
+    at = F.monotonically_increasing_id()  # the range's number and, in 33 bits, the place in it
+    dealt = totals.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("at", at)
+    dealt = checkpointed(dealt.withColumn("range", F.shiftright("at", 33)))
+    before = F.sum("n_range").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    ranges = dealt.groupBy("range").agg(F.count("*").alias("n_range")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    return dealt.join(ranges, "range").withColumn("place", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("range", "before", "at")
+
+
 def _targets(totals: DataFrame, weights, most: int) -> DataFrame:
-    """(source, source_size, weight, target): totals shared by weight, each source at most ``most`` times its size.
-
-    Water filling: a source is full when most * size / weight lies under the common level; what full
-    sources cannot take raises the level of the rest. Works on one row per source."""
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    ranked = totals.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("long"))
-    # By rising ratio of cap to weight; a prefix of this order is full.
-    order = W.orderBy((F.lit(most) * F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    everything = W.partitionBy()
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    filled = ranked.select(
-        "source",
-        "source_size",
-        "weight",
-        F.sum("source_size").over(everything).alias("_all"),
-        F.coalesce(F.sum(F.lit(most) * F.col("source_size")).over(before), F.lit(0)).alias("_full"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("_open"),
-    )
-    # The first row whose cap is not under the level that it would have sets the level.
-    fits = F.lit(most) * F.col("source_size") * F.col("_open") >= (F.col("_all") - F.col("_full")) * F.col("weight")
-    level = F.min(F.when(fits, F.struct((F.lit(most) * F.col("source_size") / F.col("weight")).alias("r"), F.col("_all").alias("t"), F.col("_full").alias("f"), F.col("_open").alias("o")))).over(everything)
+    """totals (source, source_size, ...) with weight and target: all sizes shared by weight, each source at most ``most`` times its size.
+
+    Shares are the common level times the weight. A source whose limit lies under its share is full, and what full sources cannot
+    take raises the level of the rest, until no more are full. A round is one pre-aggregated sum over the sources, of which one row
+    comes to the driver; each round but the last finds another full source, and limits that lie close to each other fill up together."""
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")).cast("double")
     cap = (F.lit(most) * F.col("source_size")).cast("double")
-    share = F.col("weight") * (F.col("_l.t") - F.col("_l.f")).cast("double") / F.col("_l.o")
-    return filled.withColumn("_l", level).select("source", "source_size", "weight", F.when(F.col("_l").isNull(), cap).otherwise(F.least(cap, share)).alias("target"))
+    ranked = checkpointed(_numbered(totals).withColumn("weight", weight).withColumn("cap", cap).drop("place"))
+    everything, weighed = ranked.agg(F.coalesce(F.sum("source_size").cast("double"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level, full = (everything / weighed if weighed else 0.0), 0
+    while True:
+        is_full = F.col("cap") < F.lit(level) * F.col("weight")
+        n, taken, left = ranked.agg(F.count_if(is_full), F.coalesce(F.sum(F.when(is_full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~is_full, F.col("weight"))), F.lit(0.0))).first()
+        if n == full:
+            return ranked.withColumn("target", F.when(is_full, F.col("cap")).otherwise(F.lit(level) * F.col("weight"))).drop("weight", "cap")
+        level, full = (everything - taken) / left if left else level, n
 
 
 def _settle(units, seed: int):
@@ -74,7 +78,7 @@ def _settle(units, seed: int):
 
 
 def mix_plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, fan_in: int = FAN_IN, seed: int = 17) -> DataFrame:
-    """One row per different (doc_id, source, text): row, doc_id, source, rows, size, source_size, target, taken.
+    """One row per different (doc_id, source, text): row, doc_id, source, rows, size, source_size, target, taken, extra.
 
     Every row of a source has the same expected copies f = target / source_size. It gets floor(f) whole copies;
     the fraction is rounded by pivotal sampling, in words: within a source, two rows at a time move
@@ -83,14 +87,12 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, fan_in: int = F
     stays open at a source's root is cut: its first words bring the source to its target, within one word.
 
     Null texts and texts without words have size 0 and take 0. A null source is a source of its own, the last.
-    ``rows`` counts repeated rows; they are rounded as one and each takes ``taken``. Equal or null doc_ids with
-    different texts are separate. Reruns agree: draws are hashes of the rows. Empty tables give empty tables."""
+    ``rows`` counts repeated rows; they are rounded as one, and each takes ``taken`` words, ``extra`` of them one word more. Equal or
+    null doc_ids with different texts are separate. Reruns agree: draws are hashes of the rows. Empty tables give empty tables."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    row = F.concat(F.hex(F.xxhash64("doc_id", "source", "text")), F.hex(F.xxhash64("text", F.lit(seed), "source", "doc_id")))
-    units = checkpointed(docs.select(row.alias("row"), "doc_id", "source", size.alias("size")).groupBy("row", "doc_id", "source", "size").agg(F.count("*").alias("rows")))
+    units = checkpointed(docs.select(_row_of(seed).alias("row"), "doc_id", "source", size.alias("size")).groupBy("row", "doc_id", "source", "size").agg(F.count("*").alias("rows")))
     totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n"))
-    shares = _targets(totals.drop("n"), weights, most)
-    by_source = checkpointed(totals.select(F.col("source").alias("s"), "n").join(shares, F.col("s").eqNullSafe(F.col("source"))).drop("source"))
+    by_source = _targets(totals, weights, most).withColumnRenamed("source", "s")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.least(F.floor(copies), F.lit(most)).cast("long")
     each = (
@@ -113,35 +115,48 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, fan_in: int = F
         if top is None or top <= fan_in:
             break
     done = done.unionByName(open_rows.select("row", F.round("mass").alias("got")))
-    got = F.floor(F.coalesce(F.col("got"), F.lit(0.0)) / F.col("rows")).cast("long")
-    return each.join(done, "row", "left").select("row", "doc_id", "source", "rows", "size", "source_size", "target", (F.col("size") * F.col("whole") + got).alias("taken"))
+    got = F.floor(F.coalesce(F.col("got"), F.lit(0.0))).cast("long")
+    rounded = each.join(done, "row", "left").withColumn("got", got).withColumn("extra", F.col("got") % F.col("rows"))
+    taken = F.col("size") * F.col("whole") + F.floor((F.col("got") - F.col("extra")) / F.col("rows")).cast("long")
+    return rounded.select("row", "doc_id", "source", "rows", "size", "source_size", "target", taken.alias("taken"), "extra")
+
+
+def _row_of(seed: int):
+    """What tells rows of a mix apart: 128 bits of doc_id, source and text."""
+    return F.concat(F.hex(F.xxhash64("doc_id", "source", "text")), F.hex(F.xxhash64("text", F.lit(seed), "source", "doc_id")))
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, fan_in: int = FAN_IN, seed: int = 17) -> DataFrame:
-    """docs with size, source_size, target and taken of mix_plan for every row; columns of these names are replaced."""
-    docs = docs.drop("size", "source_size", "target", "taken", "_row")
-    plan = mix_plan(docs, weights, most, fan_in, seed).select(F.col("row").alias("_row"), "size", "source_size", "target", "taken")
-    row = F.concat(F.hex(F.xxhash64("doc_id", "source", "text")), F.hex(F.xxhash64("text", F.lit(seed), "source", "doc_id")))
-    return docs.withColumn("_row", row).join(plan, "_row").drop("_row")
+    """docs with size, source_size, target and taken of mix_plan for every row; columns of these names are replaced.
+
+    Repeated rows all take the same, so a source may lie under its target by a word for each repetition of the one row that is cut."""
+    docs = docs.drop("size", "source_size", "target", "taken")
+    row = unused(docs.columns, "row")
+    plan = mix_plan(docs, weights, most, fan_in, seed).select(F.col("row").alias(row), "size", "source_size", "target", "taken")
+    return docs.withColumn(row, _row_of(seed)).join(plan, row).drop(row)
 
 
 def mixture(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of the mix, with the columns of docs: whole copies, and for the row that is cut, its first words.
 
     Rows of which nothing is taken, among them rows without words, are left out."""
-    mixed = mix_sources(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in ("size", "source_size", "target", "taken")}), **parameters)
+    made, names = ("size", "source_size", "target", "taken"), list(docs.columns)
+    aside = {c: unused(names, f"own_{c}") for c in names if c.lower() in made}
+    mixed = mix_sources(docs.withColumnsRenamed(aside), **parameters)
+    words = unused(mixed.columns, "words")
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("long")
     copies = F.array_repeat(F.lit(0).cast("long"), whole.cast("int"))
     part = F.col("taken") - whole * F.col("size")
-    cuts = mixed.withColumn("_words", F.explode(F.concat(copies, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
+    cuts = mixed.withColumn(words, F.explode(F.concat(copies, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
     # Split after each word, so that the white space before a word stays with it.
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("_words") == 0, F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), ""))
-    out = cuts.withColumn("text", text).drop("size", "source_size", "target", "taken", "_words")
-    return out.withColumnsRenamed({c: c.removeprefix("_own_") for c in out.columns if c.startswith("_own_")}).select(*docs.columns)
+    text = F.when(F.col(words) == 0, F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col(words).cast("int")), ""))
+    out = cuts.withColumn("text", text).drop(*made, words)
+    return out.withColumnsRenamed({to: c for c, to in aside.items()}).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """Every document with its source's size and target and the words that the mix takes of it."""
-    plan = mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select("doc_id", "size", "source_size", "target", "taken")
+    plan = mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    taken = F.col("taken") + F.when(F.col("copy") <= F.col("extra"), 1).otherwise(0)
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
