@@ -25,3 +25,27 @@ def test_prefilter_against_all_rules():
                         got = gated.scan(text)
                         assert f"{label}-{v.replace(' ', '-')}" in got[5].split(","), text
                         assert got == every.scan(text), text
+
+
+def _alternatives(pattern):
+    """Texts that a signature matches: each alternative, and optional parts left out and put in."""
+    group = re.search(r"\(\?:([^()]*)\)(\?|\{(\d+),(\d+)\})?", pattern)
+    if not group:
+        return [pattern]
+    parts = group[1].split("|") + [""] * (group[2] == "?")
+    if group[3]:
+        parts = [p * int(n) for p in parts for n in (group[3], group[4])]
+    return [t for p in parts for t in _alternatives(pattern[: group.start()] + p + pattern[group.end() :])]
+
+
+def test_keywords_stand_in_all_that_signatures_match():
+    for label, keyword, sentence in licenses._SENTENCES:
+        found = 0
+        for text in _alternatives(f"(?:{sentence})" if "|" in re.sub(r"\([^()]*\)", "", sentence) else sentence):
+            for t in (re.sub(r"([a-z ])\?", r"\1", text), re.sub(r"[a-z ]\?", "", text)):
+                for shown, plain in (("[cs]", "c"), ("[sz]", "s"), ("[0-9]{4}", "1999"), ("[0-9 ]+", "1999 "), ("[0-9]", "4"), ("[a-z0-9]+", "some"), ("[a-z]+", "some")):
+                    t = t.replace(shown, plain)
+                if re.fullmatch(sentence, t):
+                    found += 1
+                    assert keyword in f" {t} ", (label, t)
+        assert found, (label, sentence)
