@@ -2,12 +2,12 @@
 
 from .bpe import op2_bpe
 from .chat import OP1_SQL, op1_chat
-from .embdedup import op8_embdedup
+from .embdedup import OP8_SQL, op8_embdedup
 from .hmm import op10_hmm
 from .langid import op9_langid
 from .licenses import op4_licenses
 from .linedup import op6_linedup
-from .minhash import op3_minhash
+from .minhash import OP3_SQL, op3_minhash
 from .mixing import op5_mixing
 from .topk import OP7_SQL, op7_topk
 
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_hmm": op10_hmm,
 }
 
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op7_topk": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op3_minhash": OP3_SQL, "op7_topk": OP7_SQL, "op8_embdedup": OP8_SQL}

@@ -108,7 +108,7 @@ def test_near_duplicates_edges(spark):
     got = minhash.near_duplicates(docs, words=3).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 1, True), (None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (4, 1, 4, True), (2, 0, 2, True), (None, 0, None, True)], key=str)
     kept = minhash.without_near_duplicates(docs, words=3)
-    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, None), (4, "a b c d"), (4, "other text here"), (2, ""), (None, None)], key=str) or kept.count() >= 3
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, None), (4, "a b c d"), (4, "other text here"), (2, ""), (None, None)], key=str)
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 

@@ -39,7 +39,7 @@ def test_guard_is_reversible(a, b):
     assert template.unguard(template.guard(a)) == a
     assert template.unguard(template.guard_line(a)) == a
     assert "\n" not in template.guard_line(a)
-    assert "<|" not in template.guard(a) and not (template.guard(a) + "<|im_end|>").startswith("<|im_end|>") or not a
+    assert "<|" not in template.guard(a)
 
 
 def test_template_language():
@@ -148,7 +148,7 @@ def test_licenses(docs):
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs, keep=("doc_id", "lang")).collect() if r["doc_id"] != 3}
     one = got[1]
     assert (one["n_words"], one["n_base"], one["first_word"], one["last_word"], one["base_labels"]) == (12, 3, 1, 10, "apache,mit")
-    assert one["labels"].split(",") == ["apache", "apache-2.0", "mit"] or set(one["labels"].split(",")) >= {"apache-2.0", "mit", "apache"}
+    assert one["labels"].split(",") == ["apache", "apache-2.0", "mit"]
     assert (got[2]["n_words"], got[2]["n_base"], got[2]["first_word"], got[2]["labels"], got[2]["score"]) == (0, 0, None, "", 0.0)
     assert got[7]["base_labels"] == "gpl" and got[7]["first_word"] == 2
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
@@ -162,7 +162,7 @@ def test_license_words_by_brute_force(duck):
         at = sorted((k, label) for phrase, label in licenses.BASE for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split())
         got = scanner.scan(text)
         assert got[:5] == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at})))
-        assert set(got[4].split(",")) <= set(got[5].split(","))
+        assert set(got[4].split(",")) - {""} <= set(got[5].split(","))
 
 
 def test_license_rules_are_ordered_and_suppress():
