@@ -38,13 +38,29 @@ STEM_RULES = (
 
 
 def stem(word: Column) -> Column:
-    """The stem of a lower-case word of letters; words of up to three letters, or with a digit, stay."""
+    """The stem of a lower-case word of letters; words of up to three letters, or with a digit, stay.
+
+    Rules are asked by the last letter, in their order: rules of other letters cannot fit. Best computed within a lambda (see
+    stems): in generated code the many branches make one method that is too large to be compiled at run time."""
+    by_last: dict[str, list[tuple[str, str, int]]] = {}
+    for rule in STEM_RULES:
+        by_last.setdefault(rule[0][-1], []).append(rule)
     out = F.when((F.length(word) <= 3) | ~word.rlike("^[a-z]+$"), word)
-    for suffix, replacement, least in STEM_RULES:
-        out = out.when(word.endswith(suffix) & (F.length(word) > least), F.concat(F.substring(word, F.lit(1), F.length(word) - len(suffix)), F.lit(replacement)))
+    for last, rules in by_last.items():
+        own = None
+        for suffix, replacement, least in rules:
+            test = word.endswith(suffix) & (F.length(word) > least) if least > 3 else word.endswith(suffix)
+            stemmed = F.concat(F.substring(word, F.lit(1), F.length(word) - len(suffix)), F.lit(replacement))
+            own = F.when(test, stemmed) if own is None else own.when(test, stemmed)
+        out = out.when(word.endswith(last), own.otherwise(word))
     return out.otherwise(word)
 
 
+def stems(words_: Column) -> Column:
+    """Of an array of words."""
+    return F.transform(words_, stem)
+
+
 def _grams(run: Column, n: int) -> Column:
     starts = F.when(F.length(run) >= n, F.sequence(F.lit(1), F.length(run) - (n - 1))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.substring(run, i, F.lit(n)))
@@ -60,7 +76,7 @@ def words(text: Column) -> Column:
 
 
 def tokenize(text: Column, stemming: bool = True) -> Column:
-    return F.transform(words(text), stem) if stemming else words(text)
+    return stems(words(text)) if stemming else words(text)
 
 
 def plain_words(text: Column) -> Column:

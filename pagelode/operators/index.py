@@ -27,9 +27,8 @@ def fields_of_texts(documents: DataFrame) -> DataFrame:
 
 
 def tokens(fields: DataFrame) -> DataFrame:
-    """(doc_id, field, ord, pos, term): one row per token; stems are computed after the explode, in generated code."""
-    exploded = fields.select("doc_id", "field", "ord", F.posexplode(text.words(F.col("content"))).alias("pos", "word"))
-    return exploded.select("doc_id", "field", "ord", "pos", text.stem(F.col("word")).alias("term"))
+    """(doc_id, field, ord, pos, term): one row per token."""
+    return fields.select("doc_id", "field", "ord", F.posexplode(text.tokenize(F.col("content"))).alias("pos", "term"))
 
 
 def weight(config: Config = DEFAULT):
@@ -77,11 +76,15 @@ def index_stats(postings_: DataFrame, docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """postings (term, doc_id, freq, positions, fields), docs (doc_id, url, title, length, pagerank), df (term, df)."""
+    """postings (term, doc_id, freq, positions, fields), docs (doc_id, url, title, length, pagerank), df (term, df).
+
+    A saved index also has impacts (term, doc_id, part, pagerank): what each posting adds to a document's score, so that
+    a query reads its terms' rows and sums them, without figures of the corpus."""
 
     postings: DataFrame
     docs: DataFrame
     df: DataFrame
+    impacts: DataFrame | None = None
 
     @classmethod
     def of_pages(cls, pages: DataFrame, config: Config = DEFAULT, ranks: DataFrame | None = None) -> Index:
@@ -94,19 +97,38 @@ class Index:
             docs = docs.join(ranks.select("doc_id", F.col("rank").alias("pagerank")).where("pagerank > 0"), "doc_id", "left").fillna({"pagerank": 0.0})
         return cls(posted, docs, document_frequencies(posted))
 
-    def save(self, spark: SparkSession, database: str = "default", buckets: int = 16) -> None:
-        """Tables bucketed and sorted by their keys, so that queries read the buckets of their terms alone. What was there is replaced."""
+    def save(self, spark: SparkSession, database: str = "default", buckets: int = 16, folder: str | None = None) -> None:
+        """Tables bucketed and sorted by their keys, so that queries read the buckets of their terms alone.
+
+        Files lie in folder, by default one of the database's name in the warehouse; what was there is replaced."""
+        from .ranking import impacts
+
+        folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{database}.index"
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-        self.postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term", "doc_id").saveAsTable(f"{database}.postings")
-        self.docs.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("doc_id").saveAsTable(f"{database}.docs")
-        self.df.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(f"{database}.dictionary")
+
+        def put(frame: DataFrame, name: str, key: str, *order: str) -> DataFrame:
+            # One file for each bucket.
+            frame.repartition(buckets, key).write.mode("overwrite").option("path", f"{folder}/{name}").bucketBy(buckets, key).sortBy(key, *order).saveAsTable(f"{database}.{name}")
+            return spark.table(f"{database}.{name}")
+
+        posted, docs = put(self.postings, "postings", "term", "doc_id"), put(self.docs, "docs", "doc_id")
+        stored = Index(posted, docs, put(document_frequencies(posted), "dictionary", "term"))
+        put(impacts(stored), "impacts", "term")
 
     @classmethod
     def load(cls, spark: SparkSession, database: str = "default") -> Index | None:
         """None if there is no saved index."""
         if not spark.catalog.tableExists(f"{database}.postings"):
             return None
-        return cls(*(spark.table(f"{database}.{t}") for t in ("postings", "docs", "dictionary")))
+        return cls(*(spark.table(f"{database}.{t}") for t in ("postings", "docs", "dictionary", "impacts")))
+
+    def warmed(self) -> Index:
+        """The index kept on the executors, for many queries: memory, then disk. Sorted as it was saved, so batches are skipped by their term ranges."""
+        out = Index(self.postings, self.docs.persist(), self.df.persist(), self.impacts and self.impacts.persist())
+        for frame in (out.docs, out.df, out.impacts):
+            if frame is not None:
+                frame.count()
+        return out
 
     def without(self, doc_ids: DataFrame) -> Index:
         """The index less some documents: what an incremental update starts from."""

@@ -45,8 +45,18 @@ def contributions(index: Index, terms: list[str], config: Config = DEFAULT) -> D
     return scored.withColumn("part", F.col("idf") * saturation(F.col("freq"), F.col("length"), F.col("avgdl"), config))
 
 
+def impacts(index: Index, config: Config = DEFAULT) -> DataFrame:
+    """(term, doc_id, part, pagerank) of all postings: what each adds to a score, beside its document's authority."""
+    figures = corpus(index.docs)
+    known = idfs(index).select("term", "idf")
+    matched = index.postings.select("term", "doc_id", "freq").join(known, "term").join(index.docs.select("doc_id", "length", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank")), "doc_id").crossJoin(F.broadcast(figures.select("avgdl")))
+    return matched.select("term", "doc_id", (F.col("idf") * saturation(F.col("freq"), F.col("length"), F.col("avgdl"), config)).alias("part"), "pagerank")
+
+
 def bm25(index: Index, terms: list[str], config: Config = DEFAULT) -> DataFrame:
-    """(doc_id, bm25) of documents with any term."""
+    """(doc_id, bm25) of documents with any term. Stored impacts have the usual parameters."""
+    if index.impacts is not None and config == DEFAULT:
+        return index.impacts.where(F.col("term").isin(*terms)).groupBy("doc_id").agg(F.sum("part").alias("bm25"))
     return contributions(index, terms, config).groupBy("doc_id").agg(F.sum("part").alias("bm25"))
 
 
@@ -64,7 +74,10 @@ def fused(index: Index, terms: list[str], mode: str = "hybrid", config: Config =
     """(doc_id, bm25, pagerank, final); modes other than authority and hybrid are relevance.
 
     Scores are divided by their maxima over the matches, or by 1 if those are 0."""
-    matched = bm25(index, terms, config).join(index.docs.select("doc_id", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank")), "doc_id", "left").fillna({"pagerank": 0.0})
+    if index.impacts is not None and config == DEFAULT:
+        matched = index.impacts.where(F.col("term").isin(*terms)).groupBy("doc_id").agg(F.sum("part").alias("bm25"), F.first("pagerank").alias("pagerank"))
+    else:
+        matched = bm25(index, terms, config).join(index.docs.select("doc_id", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank")), "doc_id", "left").fillna({"pagerank": 0.0})
     scored = matched.crossJoin(F.broadcast(_tops(matched)))
     relevance = F.col("bm25") / F.when(F.col("_b") > 0, F.col("_b")).otherwise(F.lit(1.0))
     authority = F.col("pagerank") / F.when(F.col("_p") > 0, F.col("_p")).otherwise(F.lit(1.0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelode.config import DEFAULT, Config
@@ -56,14 +57,20 @@ def results_of_many(index: Index, queries: DataFrame, limit: int = 20, config: C
     """(query_id, doc_id, bm25, final, rank) for a table (query_id, terms) of queries, hybrid, in one plan.
 
     Queries meet postings in a join on the term; maxima and ranks are per query."""
-    from pyspark.sql import Window as W
-
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    if index.impacts is not None and config == DEFAULT:
+        scored = asked.join(index.impacts, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("bm25"), F.first("pagerank").alias("pagerank"))
+        return _best_of_each(scored, limit, config)
     figures = ranking.corpus(index.docs)
     known = index.df.crossJoin(F.broadcast(figures)).select("term", ranking.idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
     matched = asked.join(known, "term").join(index.postings.select("term", "doc_id", "freq"), "term").join(index.docs.select("doc_id", "length", "pagerank"), "doc_id")
     part = F.col("idf") * ranking.saturation(F.col("freq"), F.col("length"), F.col("avgdl"), config)
     scored = matched.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"), F.first("pagerank").alias("pagerank"))
+    return _best_of_each(scored, limit, config)
+
+
+def _best_of_each(scored: DataFrame, limit: int, config: Config) -> DataFrame:
+    """The best of (query_id, doc_id, bm25, pagerank) by their hybrid score, for each query."""
     tops = scored.groupBy("query_id").agg(F.max("bm25").alias("_b"), F.max("pagerank").alias("_p"))
     over = lambda x, top: F.col(x) / F.when(F.col(top) > 0, F.col(top)).otherwise(F.lit(1.0))
     final = config.relevance_weight * over("bm25", "_b") + config.authority_weight * over("pagerank", "_p")

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Words that are broadcast to the dictionary, at most.
+FEW = 64
 
 
 def edits1(word: Column) -> Column:
@@ -30,19 +32,59 @@ def dictionary(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(total)).select("term", F.col("df").alias("freq"), F.when(F.col("_total") > 0, F.col("df") / F.col("_total")).otherwise(F.lit(0.0)).alias("p"))
 
 
-def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
+def deletions(word: Column) -> Column:
+    """The word, and all strings that are left of it when one or two of its characters go."""
+    n = F.length(word)
+    less = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+    one = F.array_distinct(less(word))
+    return F.when(n > 0, F.array_distinct(F.concat(F.array(word), one, F.flatten(F.transform(one, less))))).otherwise(F.array(word))
+
+
+def swaps(word: Column) -> Column:
+    """All strings in which two neighbouring characters of the word have changed places."""
+    n = F.length(word)
+    swap = lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(1)), F.substring(word, i, F.lit(1)), F.substring(word, i + 2, n))
+    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), swap)).otherwise(F.array().cast("array<string>"))
+
+
+def edits(word: Column, term: Column) -> Column:
+    """0, 1 or 2: how many edits of edits1 lead from word to term; null if more.
+
+    Two edits are two of Levenshtein's, or a swap on either side and one of those, or a swap on either side. Edits put in letters a to z
+    alone, so a term with others is looked for among the edits themselves."""
+    near = lambda a, b, k: F.levenshtein(a, b) <= k
+    one = near(word, term, 1) | F.array_contains(swaps(word), term)
+    two = near(word, term, 2) | F.exists(swaps(word), lambda w: near(w, term, 1)) | F.exists(swaps(term), lambda t: near(word, t, 1)) | F.arrays_overlap(swaps(word), swaps(term))
+    plain = term.rlike("^[a-z]*$")
+    one_other = F.array_contains(edits1(word), term)
+    two_other = F.exists(edits1(word), lambda w: F.array_contains(edits1(w), term))
+    return F.when(word == term, 0).when(plain & one | ~plain & one_other, 1).when(plain & F.coalesce(two, F.lit(False)) | ~plain & two_other, 2)
+
+
+def neighbourhood(known: DataFrame) -> DataFrame:
+    """(key, term, freq, p): each known term by its deletions. It can be stored with an index, bucketed by key."""
+    return known.select(F.explode(deletions(F.col("term"))).alias("key"), "term", "freq", "p")
+
+
+def candidates(words: DataFrame, known: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """(word, term, freq, p, edits): known terms at the least distance of 0, 1 or 2 edits that has any.
 
-    Words are taken once each. The second ring of edits is made only for words that the first two tiers left open;
-    candidates and dictionary meet in a join on the term, so neither has to fit in one place."""
+    Words are taken once each. A few words, at most FEW, are broadcast and compared with each term of about their length. More words,
+    or terms with a stored neighbourhood, meet in a join: a word and a term at most two edits apart are equal when some two
+    characters or fewer of each are gone, so they meet by such deletions, and the few pairs that do are compared."""
     asked = words.select(F.lower("word").alias("word")).where("word is not null").distinct()
-    tier = lambda rows, k: rows.join(known, "term").select("word", "term", "freq", "p", F.lit(k).alias("edits"))
-    exact = tier(asked.withColumn("term", F.col("word")), 0)
-    open_ = asked.join(exact.select("word"), "word", "left_anti")
-    ring = open_.withColumn("term", F.explode(edits1(F.col("word"))))
-    near = tier(ring, 1)
-    far = ring.join(near.select("word").distinct(), "word", "left_anti").withColumn("term", F.explode(edits1(F.col("term")))).distinct()
-    return exact.unionByName(near).unionByName(tier(far, 2))
+    if stored is None and asked.limit(FEW + 1).count() <= FEW:
+        # A swap is two of Levenshtein's edits and leaves the characters, in order, as they are.
+        ordered = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+        terms = known.select("term", "freq", "p", ordered("term").alias("_t"))
+        swapped = (F.levenshtein(F.col("_w"), F.col("_t"), 2) >= 0) & (F.levenshtein(F.col("word"), F.col("term"), 4) >= 0)
+        alike = (F.abs(F.length("word") - F.length("term")) <= 2) & ((F.levenshtein(F.col("word"), F.col("term"), 2) >= 0) | swapped)
+        met = terms.join(F.broadcast(asked.withColumn("_w", ordered("word"))), alike).drop("_t", "_w")
+    else:
+        keyed = asked.withColumn("key", F.explode(deletions(F.col("word"))))
+        met = keyed.join(stored if stored is not None else neighbourhood(known), "key").groupBy("word", "term").agg(F.first("freq").alias("freq"), F.first("p").alias("p"))
+    least = F.min("edits").over(W.partitionBy("word"))
+    return met.withColumn("edits", edits(F.col("word"), F.col("term"))).withColumn("least", least).where("edits = least").select("word", "term", "freq", "p", "edits")
 
 
 def correct(words: DataFrame, known: DataFrame) -> DataFrame:

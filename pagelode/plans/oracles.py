@@ -145,7 +145,7 @@ def anchors_after(cte: str) -> str:
     return cte.removeprefix(PAGES + ",\n")
 
 
-FUSED = f"""{SCORES}, {anchors_after(LINKS)}, {page_ranks(3)},
+FUSED = f"""{SCORES}, {anchors_after(LINKS)}, {page_ranks(20)},
 m AS MATERIALIZED (SELECT doc_id, bm25, coalesce(rank, 0) AS pagerank FROM bm LEFT JOIN rank USING (doc_id)),
 x AS (SELECT CASE WHEN max(bm25) > 0 THEN max(bm25) ELSE 1 END AS tb, CASE WHEN max(pagerank) > 0 THEN max(pagerank) ELSE 1 END AS tp FROM m)"""
 SHOWN = "doc_id, round(bm25, 6) AS bm25, round(pagerank, 8) AS pagerank"
@@ -178,7 +178,7 @@ add("stem_vocab", f"WITH t0 AS (SELECT DISTINCT unnest({words('text')}) AS word
 _PLAIN = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 add("doc_keywords", f"WITH w AS (SELECT doc_id, unnest({_PLAIN}) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS freq FROM w WHERE regexp_matches(word, '^[a-z]{{3,}}$') AND word NOT IN ({', '.join(map(lit, KEYWORD_STOP_WORDS))}) GROUP BY ALL) SELECT doc_id, word, freq, row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, word) AS rank FROM c QUALIFY rank <= 5")
 add("term_positions", f"WITH w AS (SELECT doc_id, unnest({_PLAIN}) AS term, unnest(range(len({_PLAIN}))) AS pos FROM documents) SELECT doc_id, term, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM w GROUP BY ALL")
-add("term_counts", f"WITH {TOKENS} SELECT doc_id, term, count(*) * 5.0::DOUBLE AS weighted FROM t WHERE field = 'title' GROUP BY ALL")
+add("term_counts", f"WITH {TOKENS} SELECT doc_id, term, count(*) * 5.0::DOUBLE AS weighted FROM t GROUP BY ALL")
 
 # Index
 add("postings_weighted", f"WITH {TOKENS} SELECT term, doc_id, sum(w) AS freq, array_to_string(list_transform(list(pos ORDER BY ord, pos)[1:100], lambda x: CAST(x AS VARCHAR)), ',') AS positions, array_to_string(list_sort(list(DISTINCT field)), ',') AS fields FROM t GROUP BY term, doc_id")
@@ -189,7 +189,7 @@ add("index_stats", f"WITH {INDEX} {_STATS}, (SELECT round(avg(length), 6) FROM l
 add("corpus_stats", f"WITH {CORPUS_TERMS}, post AS MATERIALIZED (SELECT DISTINCT term, doc_id FROM t), len AS (SELECT doc_id, len({words('text')}) AS length FROM documents) SELECT (SELECT count(*) FROM len) AS total_docs, (SELECT count(DISTINCT term) FROM post) AS vocabulary_size, (SELECT count(*) FROM post) AS total_postings, (SELECT round(avg(length), 6) FROM len) AS avg_doc_length, round((SELECT count(*) FROM post) / (SELECT count(*) FROM len)::DOUBLE, 6) AS avg_terms_per_doc")
 add("idf", f"WITH {INDEX} SELECT term, df, round({IDF}, 6) AS idf FROM df, corpus")
 add("bm25_scores", f"WITH {SCORES} SELECT doc_id, round(bm25, 6) AS bm25 FROM bm")
-add("bm25_subset", f"WITH {SCORES} SELECT doc_id, round(coalesce(bm25, 0), 6) AS bm25 FROM len LEFT JOIN bm USING (doc_id) WHERE doc_id < '8'")
+add("bm25_subset", f"WITH {SCORES} SELECT doc_id, round(coalesce(bm25, 0), 6) AS bm25 FROM len LEFT JOIN bm USING (doc_id)")
 
 # Links
 add("out_degree", f"WITH {LINKS} SELECT from_doc_id, count(*) AS out_degree FROM links GROUP BY 1")
@@ -259,7 +259,7 @@ add("frontier_new_links", f"WITH {QUEUE}, n AS (SELECT DISTINCT {norm("url || '/
 
 # Engine
 add("engine_stats", f"WITH {INDEX}, {anchors_after(LINKS)} {_STATS}, (SELECT count(*) FROM p) AS pages, count(*) AS total_links, count(DISTINCT from_doc_id) AS linking_pages, count(DISTINCT to_doc_id) AS linked_documents FROM links")
-add("top_pages", f"WITH {LINKS}, {page_ranks(3)} SELECT doc_id, url, title, round(coalesce(rank, 0), 10) AS pagerank FROM p LEFT JOIN rank USING (doc_id) ORDER BY 4 DESC, doc_id LIMIT 20")
+add("top_pages", f"WITH {LINKS}, {page_ranks(20)} SELECT doc_id, url, title, round(coalesce(rank, 0), 10) AS pagerank FROM p LEFT JOIN rank USING (doc_id) ORDER BY 4 DESC, doc_id LIMIT 20")
 add("upsert", f"""WITH {PAGES} SELECT doc_id, url, CASE WHEN doc_id < 'c' THEN 1672531200 ELSE {_NOW} END AS created, CASE WHEN doc_id > '6' THEN {_NOW} ELSE 1672531200 END AS updated,
 CASE WHEN doc_id > '6' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS pagerank, NOT doc_id > '6' AS is_indexed FROM p""")
 
@@ -280,6 +280,7 @@ add("index_saved", ORACLES["postings_weighted"])
 add("index_incremental", f"WITH {INDEX} SELECT term, doc_id, freq FROM post")
 add("index_state", f"WITH {INDEX} SELECT CAST((SELECT count(*) FROM len) AS INTEGER) AS total_docs, CAST((SELECT count(*) FROM df) AS INTEGER) AS total_terms, 4 AS version")
 add("search_saved", ORACLES["search"])
+add("search_many_saved", ORACLES["search_many"].replace("SELECT query_id, doc_id, round(bm25, 6) AS bm25, rank FROM r", "SELECT query_id, doc_id, round(bm25, 6) AS bm25, round(0.7::DOUBLE * bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS final, rank FROM r"))
 add("search_full", f"""WITH {FUSED}, n AS (SELECT count(*) AS total FROM (SELECT doc_id FROM parts GROUP BY doc_id HAVING count(*) = 2)),
 y AS (SELECT *, 0.7::DOUBLE * (bm25 / tb) + 0.3::DOUBLE * (pagerank / tp) AS f FROM m, x ORDER BY f DESC, bm25 DESC, doc_id LIMIT 5 OFFSET 5)
 SELECT total, 2 AS page, CAST(NULL AS VARCHAR) AS corrected, doc_id, round(f, 6) AS final, round(bm25, 4) AS bm25, round(pagerank, 8) AS pagerank FROM y, n""")

@@ -55,7 +55,7 @@ def _ranks(spark, d, iterations: int = 20) -> DataFrame:
 
 
 def _ranked_index(spark, d) -> Index:
-    return _index(spark, d, _ranks(spark, d, 3))
+    return _index(spark, d, _ranks(spark, d))
 
 
 # URLs
@@ -150,7 +150,7 @@ def term_positions(spark, d):
 
 @query
 def term_counts(spark, d):
-    return graph.term_counts(ix.tokens(ix.fields_of_pages(_pages(spark, d)).where("field = 'title'")), 5.0)
+    return graph.term_counts(ix.tokens(ix.fields_of_pages(_pages(spark, d))), 5.0)
 
 
 # Index
@@ -197,7 +197,7 @@ def bm25_scores(spark, d):
 @query
 def bm25_subset(spark, d):
     i = _index(spark, d)
-    return ranking.bm25_of(i, i.docs.where("doc_id < '8'"), TERMS).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return ranking.bm25_of(i, i.docs, TERMS).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 # Links
@@ -409,7 +409,7 @@ def engine_stats(spark, d):
 
 @query
 def top_pages(spark, d):
-    ranked = pagerank.stored(_pages(spark, d).withColumn("pagerank", F.lit(0.0)), _ranks(spark, d, 3))
+    ranked = pagerank.stored(_pages(spark, d).withColumn("pagerank", F.lit(0.0)), _ranks(spark, d))
     return graph.top_pages(ranked.withColumn("pagerank", F.round("pagerank", 10)), 20).select("doc_id", "url", "title", "pagerank")
 
 
@@ -523,10 +523,16 @@ def search_saved(spark, d):
     return search.results(_saved(spark, d), TERMS, "relevance", 20)
 
 
+@query
+def search_many_saved(spark, d):
+    asked = src.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), q.terms(F.col("text")).alias("terms"))
+    return search.results_of_many(_saved(spark, d), asked, 3).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("final", 6).alias("final"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query
 def search_full(spark, d):
     """The whole way of a query: spelling, parsing, hybrid ranking by a saved index with authority, total, second page."""
-    answer = search.search(_saved(spark, d, _ranks(spark, d, 3)), "Thre thth", limit=5, offset=5, mode="hybrid")
+    answer = search.search(_saved(spark, d, _ranks(spark, d)), "Thre thth", limit=5, offset=5, mode="hybrid")
     rows = [(answer["total"], answer["page"], answer["corrected"], r["doc_id"], r["final"], r["bm25"], r["pagerank"]) for r in answer["results"]]
     return spark.createDataFrame(rows, "total bigint, page int, corrected string, doc_id string, final double, bm25 double, pagerank double")
 

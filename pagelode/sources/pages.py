@@ -22,8 +22,14 @@ PAGES = T.StructType(
 LINKS = T.StructType([T.StructField(n, T.StringType()) for n in ("from_doc_id", "to_url", "to_doc_id", "anchor_text")])
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A table whose scan has fewer tasks than there are cores, dealt out over the cores, as parsing costs far more than moving; any larger table as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame._jdf.queryExecution().toRdd().getNumPartitions() < cores else frame
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def acceptable(responses: DataFrame, config: Config = DEFAULT) -> DataFrame:

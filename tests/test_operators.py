@@ -217,3 +217,29 @@ def test_outcomes_stream(spark, tmp_path):
     run.awaitTermination()
     got = {r["url"]: r["status"] for r in spark.read.parquet(str(tmp_path / "queue/version=1")).collect()}
     assert got == {"http://a.example.org/": "completed", "http://a.example.org/b": "pending"}
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_edits_by_brute_force(spark, monkeypatch, few):
+    """Candidates are what one or two rounds of all edits give, terms with digits too."""
+    monkeypatch.setattr(spell, "FEW", few)
+    import random
+
+    rng = random.Random(5)
+
+    def ring(w):
+        parts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        return {a + b[1:] for a, b in parts if b} | {a + b[1] + b[0] + b[2:] for a, b in parts if len(b) > 1} | {a + c + b[1:] for a, b in parts if b for c in spell.LETTERS} | {a + c + b for a, b in parts for c in spell.LETTERS}
+
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(90)} | {"ab1", "1ab", "abc1", "a1bc", "ca", "abc", "acb"})
+    words = ["ca", "abca", "1abc", "b", "cccccc", "a1b", "bacba", "xyzzyx"]
+    known = spell.dictionary(spark.createDataFrame([(t, 1) for t in terms], "term string, df bigint"))
+    got = {}
+    for r in spell.candidates(spark.createDataFrame([(w,) for w in words], "word string"), known).collect():
+        got.setdefault(r["word"], set()).add((r["term"], r["edits"]))
+    for w in words:
+        one = ring(w)
+        two = set().union(*map(ring, one))
+        tiers = [{t for t in terms if t == w}, one & set(terms), two & set(terms)]
+        level = next((k for k, tier in enumerate(tiers) if tier), None)
+        assert got.get(w, set()) == ({(t, level) for t in tiers[level]} if level is not None else set()), w

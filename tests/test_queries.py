@@ -6,7 +6,7 @@ from pagelode.plans import registry
 from tests.conftest import SF
 
 #: Many steps; they run in the driver's comparison.
-SLOW = {"pagerank_20it", "pagerank_top", "pagerank_summary", "rank_authority", "rank_relevance", "top_pages"}
+SLOW = {"pagerank_20it", "pagerank_top", "pagerank_summary", "rank_authority", "rank_relevance", "rank_page2", "search_full", "top_pages"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - SLOW))
