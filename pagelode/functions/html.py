@@ -18,7 +18,23 @@ SKIPPED_HREF = r"^(#|javascript:|mailto:|tel:|ftp:|data:)"
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": " ", "middot": "·", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–", "laquo": "«", "raquo": "»", "bull": "•", "euro": "€", "times": "×", "amp": "&"}
 
 
+def _numbered(text: Column) -> Column:
+    """With numeric character references, decimal and hexadecimal, as their characters; numbers that are none as U+FFFD."""
+
+    def of(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^([xX]?[0-9a-fA-F]+);", 1)
+        code = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 9), 16, 10)).otherwise(digits).cast("bigint")
+        sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(sound, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.concat(char, F.substring(piece, F.length(digits) + 2, F.length(piece)))
+
+    pieces = F.split(text, "&#(?=(?:[xX][0-9a-fA-F]{1,7}|[0-9]{1,8});)")
+    whole = F.array_join(F.concat(F.slice(pieces, 1, 1), F.transform(F.slice(pieces, 2, F.size(pieces)), of)), "")
+    return F.when(text.contains("&#"), whole).otherwise(text)
+
+
 def unescape(text: Column) -> Column:
+    text = F.element_at(F.transform(F.array(text), _numbered), 1)
     for name, char in ENTITIES.items():
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
     return text
@@ -40,9 +56,12 @@ def meta(page: Column, name: str) -> Column:
 
 
 def visible_text(page: Column) -> Column:
-    """The text outside dropped elements, comments and tags, with white space collapsed; the title is part of it."""
+    """The text outside dropped elements, comments and tags, with white space collapsed; the title is part of it.
+
+    A dropped element that is never closed takes the rest of the page with it, as in a browser."""
     bare = F.regexp_replace(page, r"(?s)<!--.*?-->", "")
     bare = F.regexp_replace(bare, rf"(?is)<({'|'.join(DROPPED)})\b[^>]*>.*?</\1\s*>", "")
+    bare = F.regexp_replace(bare, rf"(?is)<(?:{'|'.join(DROPPED)})\b[^>]*>.*$", "")
     return _squeezed(unescape(F.regexp_replace(bare, r"(?s)<[^>]*>", "\n")))
 
 
@@ -93,7 +112,7 @@ class _Visible(HTMLParser):
 
 @F.pandas_udf(T.StringType())
 def visible_text_lenient(page: pd.Series) -> pd.Series:
-    """For pages that regular expressions misread, such as unclosed dropped elements: a tolerant parser."""
+    """By a tolerant parser, for pages that regular expressions misread, such as tags with > in an attribute."""
 
     def read(text):
         if text is None:

@@ -52,6 +52,7 @@ def title(x: str) -> str:
 def visible(x: str) -> str:
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
     x = f"regexp_replace({x}, '(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in DROPPED) + "', '', 'g')"
+    x = f"regexp_replace({x}, '(?is)<(?:" + "|".join(DROPPED) + r")\b[^>]*>.*$', '')"
     return squeezed(unescape(f"regexp_replace({x}, '(?s)<[^>]*>', chr(10), 'g')"))
 
 

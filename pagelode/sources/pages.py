@@ -46,18 +46,19 @@ def unique_pages(raw: DataFrame) -> DataFrame:
     return keyed.join(last, ["doc_id", "page_id"])
 
 
-def parsed(raw: DataFrame) -> DataFrame:
-    """The pages table of raw (page_id, url, html)."""
+def parsed(raw: DataFrame, lenient: bool = False) -> DataFrame:
+    """The pages table of raw (page_id, url, html); lenient takes the text by a tolerant parser, in Python."""
     page = F.col("html")
+    text = html.visible_text_lenient(page) if lenient else html.visible_text(page)
     return unique_pages(raw).select(
         "doc_id",
         "url",
         urls.domain(F.col("url")).alias("domain"),
         html.title(page).alias("title"),
-        html.visible_text(page).alias("text"),
+        text.alias("text"),
         html.headings(page).alias("headings"),
         html.meta(page, "description").alias("meta_description"),
-        html.content_hash(html.visible_text(page)).alias("content_hash"),
+        html.content_hash(text).alias("content_hash"),
         F.octet_length(page).cast("long").alias("content_length"),
     )
 

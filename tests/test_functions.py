@@ -130,3 +130,13 @@ def test_links_with_dot_segments(spark):
     raw = spark.createDataFrame([(1, "http://h.example.org/a/b/c", page)], "page_id bigint, url string, html string")
     want = ["http://h.example.org/a/b/here", "http://h.example.org/a/b/plain", "http://h.example.org/a/up", "http://h.example.org/y", "http://o.example.org/a/../b"]
     assert sorted(r["to_url"] for r in pages.links(raw).collect()) == want
+
+
+def test_numeric_references_and_unclosed_elements(spark):
+    import html as plain
+
+    texts = ["a&#65;b&#x1F600;&#X20ac; &#39;", "&#0;&#xD800;|&#1114112;", "&#;&#x;&#xZ;&#12", "&amp;#65; &#228;&uuml", "none", "&#8364", ""]
+    got = values(spark, texts, html.unescape(F.col("x")))
+    assert got[0] == plain.unescape(texts[0]) and got[1] == "��|�" and got[2:] == ["&#;&#x;&#xZ;&#12", "&#65; ä&uuml", "none", "&#8364", ""]
+    pages = ["<p>one</p><script>var a = '<p>two</p>'", "<p>x</p><style>p {}</style>y<svg><g>z", "<p>a<b>c"]
+    assert values(spark, pages, html.visible_text(F.col("x"))) == values(spark, pages, html.visible_text_lenient(F.col("x"))) == ["one", "x y", "a c"]
