@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .template import compiled, unguard
 
 #: Turns between marks; roles and texts are guarded, so that marks stand nowhere else.
@@ -64,7 +64,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, part_chars:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return ordered.mapInArrow(packed, _PARTS_DDL)
+    return ordered.mapInArrow(lean(packed), _PARTS_DDL)
 
 
 def read_back(parts: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def read_back(parts: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, types)], names)
 
-    return parts.mapInArrow(read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return parts.mapInArrow(lean(read), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def op1_chat(spark, sf_dir: str) -> DataFrame:

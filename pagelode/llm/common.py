@@ -6,6 +6,8 @@ package on their path.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import zlib
@@ -57,6 +59,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+def lean(step: Callable) -> Callable:
+    """step, a function from batches to batches, after which a worker gives its free memory back.
+
+    Workers are used again and wait between tasks; what one step held would add to what the next needs beside it. Steps make
+    no cycles of objects, so the collector, which would walk through all that they remember, rests meanwhile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from step(batches)
+        finally:
+            gc.enable()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def unused(columns, name: str) -> str:
     """name, with as many underscores before it as columns need to have no such name, in any case of letters."""
     taken = {c.lower() for c in columns}
@@ -105,7 +128,7 @@ def maybe_among(keys: DataFrame) -> Callable:
             yield packed([(k, zlib.compress(x.tobytes(), 1)) for k, x in made.items()])
 
     whole = bytearray(BITMAP // 8)
-    for k, x in keys.mapInArrow(mark, "part int, bits binary").repartition("part").mapInArrow(unite, "part int, bits binary").collect():
+    for k, x in keys.mapInArrow(lean(mark), "part int, bits binary").repartition("part").mapInArrow(lean(unite), "part int, bits binary").collect():
         whole[k * PART // 8 : (k + 1) * PART // 8] = zlib.decompress(x)
     shared = keys.sparkSession.sparkContext.broadcast(bytes(whole))
 

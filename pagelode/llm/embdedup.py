@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, lean, table
 from .graph import connected_components
 from .minhash import _bounds, _grouped, _stars
 from .vectors import finite, matrix
@@ -79,7 +79,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, bits: int | None =
                 wide = np.packbits(projected(part.column(1), SIGNS, 1), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), tables)), *[pa.array(np.repeat(wide[:, k], tables)) for k in range(SIGNS // 64)]], ["bucket", "c", *[f"s{k}" for k in range(SIGNS // 64)]])
 
-    members = classes.select("c", "embedding").mapInArrow(buckets, "bucket bigint, c bigint, " + ", ".join(f"s{k} bigint" for k in range(SIGNS // 64)))
+    members = classes.select("c", "embedding").mapInArrow(lean(buckets), "bucket bigint, c bigint, " + ", ".join(f"s{k} bigint" for k in range(SIGNS // 64)))
     large = checkpointed(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("k > 1"))
     large = F.broadcast(large) if large.count() <= LARGE else large
     # A row's block and the one that it meets, in one number: i, j and whether the row is of block i.
@@ -107,7 +107,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, bits: int | None =
             yield pa.RecordBatch.from_arrays([t.column(k).combine_chunks().take(kept) for k in range(4)], ["bucket", "pair", "own", "c"])
 
     ordered = signed.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
-    due = ordered.mapInArrow(nearby, "bucket bigint, pair bigint, own boolean, c bigint").join(classes.select("c", "n", "embedding"), "c")
+    due = ordered.mapInArrow(lean(nearby), "bucket bigint, pair bigint, own boolean, c bigint").join(classes.select("c", "n", "embedding"), "c")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, 2):
@@ -139,7 +139,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, bits: int | None =
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c[some], np.array(a, np.int64)])), pa.array([None] * len(some) + b, pa.int64()), pa.array([*links[some], *[None] * len(b)], pa.int64())], ["a", "b", "links"])
 
     whole = due.select("bucket", "pair", "own", "c", "n", "embedding").repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
-    compared = checkpointed(whole.mapInArrow(compare, "a bigint, b bigint, links bigint"))
+    compared = checkpointed(whole.mapInArrow(lean(compare), "a bigint, b bigint, links bigint"))
     counts = compared.where("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("links"))
     groups = connected_components(compared.where("b is not null").select("a", "b")).join(classes.select("c", "rep"), F.col("node") == F.col("c"))
     smallest = groups.groupBy("component").agg(F.min("rep").alias("first"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, frequent, sliced, table, texts, words
+from .common import checkpointed, frequent, lean, sliced, table, texts, words
 from .langid import held_out
 
 #: Latent states; rounds of Baum-Welch; tokens that have an emission of their own; longest token that stands for itself, in bytes.
@@ -54,7 +54,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         if seen:
             yield out()
 
-    return docs.select("text").mapInArrow(count, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(lean(count), "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 class Model:
@@ -213,7 +213,7 @@ def _coded(docs: DataFrame, model: Model) -> DataFrame:
             flat = np.concatenate(coded)
             yield pa.RecordBatch.from_arrays([pa.array([np.array([len(c) for c in coded], np.int64).tobytes()], pa.binary()), pa.array([len(flat)], pa.int64()), pa.array([squeeze.compress(flat.tobytes(), asbytes=True)], pa.binary())], ["lengths", "total", "symbols"])
 
-    return docs.select("text").mapInArrow(code, "lengths binary, total bigint, symbols binary")
+    return docs.select("text").mapInArrow(lean(code), "lengths binary, total bigint, symbols binary")
 
 
 def _improve(coded: DataFrame, model: Model) -> None:
@@ -240,7 +240,7 @@ def _improve(coded: DataFrame, model: Model) -> None:
             kept = np.flatnonzero(whole.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32))] + [pa.array(whole[kept, j]) for j in range(k)], ["symbol", *columns])
 
-    sums = coded.mapInArrow(expect, "symbol int, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns])
+    sums = coded.mapInArrow(lean(expect), "symbol int, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns])
     got = np.zeros((symbols + k + 1, k))
     summed = sums.toArrow()
     for j, c in enumerate(columns):
@@ -306,7 +306,7 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
                 ["_row", "token", "k", "doc_id", "n_tokens", "n", "base_score", "score"],
             )
 
-    scored = rows.mapInArrow(score, "_row bigint, token binary, k int, doc_id bigint, n_tokens bigint, n bigint, base_score double, score double")
+    scored = rows.mapInArrow(lean(score), "_row bigint, token binary, k int, doc_id bigint, n_tokens bigint, n bigint, base_score double, score double")
     joined = scored.join(counts, "token", "left")
     c, own = F.coalesce("c", F.lit(0)), F.col("k").isNull()
     share = F.log10((c + SMOOTH) / F.element_at(F.lit(model.class_totals), F.col("k") + 1))

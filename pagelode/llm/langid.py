@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import lean, sliced, table
 
 #: Buckets that n-grams of bytes are hashed to.
 FEATURES = 1 << 13
@@ -189,7 +189,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, of_each: int = OF_EACH) ->
                 yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(kept)) for k in (0, 2)] + [pa.array([i.tobytes() for i in which], pa.binary()), pa.array([c.tobytes() for c in much], pa.binary())], ["lang", "h", "which", "much"])
 
     due = rows.where(F.col("h") <= bound).dropDuplicates(["h", "lang"]).select("lang", "text", "h")
-    found = due.mapInArrow(count, "lang string, h bigint, which binary, much binary").collect()
+    found = due.mapInArrow(lean(count), "lang string, h bigint, which binary, much binary").collect()
     room: dict[str, int] = {}
     counts, labels = [], []
     for r in sorted(found, key=lambda r: (r["h"], r["lang"])):
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [pa.array(said), pa.array(score)], [*keep, "lang_pred", "score"])
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(predict, ddl)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(lean(predict), ddl)
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.2) -> DataFrame:
@@ -248,7 +248,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float = 0.2) -> DataFr
                 able = [k for k, s in zip(able, scores) if s >= least]
             yield b.take(pa.array(able, pa.int64()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def held_out(folds: int):

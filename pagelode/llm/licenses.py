@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import sliced, table, texts
+from .common import lean, sliced, table, texts
 
 
 class Rule(NamedTuple):
@@ -353,7 +353,7 @@ def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), findings
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + made, [*keep, *names[:width]])
 
     ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["n_words bigint", "n_base bigint", "first_word bigint", "last_word bigint", "base_labels string", "labels string", "score double", "findings array<struct<label:string,first_word:bigint,last_word:bigint,score:double>>"][:width]
-    return docs.selectExpr(*[f"`{c}`" for c in keep], "text AS _text").mapInArrow(scan, ", ".join(ddl))
+    return docs.selectExpr(*[f"`{c}`" for c in keep], "text AS _text").mapInArrow(lean(scan), ", ".join(ddl))
 
 
 def op4_licenses(spark, sf_dir: str) -> DataFrame:

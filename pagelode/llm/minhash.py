@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, maybe_among, sliced, table, texts, unused
+from .common import checkpointed, lean, maybe_among, sliced, table, texts, unused
 from .graph import connected_components
 from .hashes import mixed, odd, shingle_sets
 
@@ -139,7 +139,7 @@ def _linked(rows: DataFrame, key: str, payload: str, links: Callable) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     ordered = rows.select(key, "i", "j", "own", "c", "n", payload).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
-    return ordered.mapInArrow(step, "a bigint, b bigint")
+    return ordered.mapInArrow(lean(step), "a bigint, b bigint")
 
 
 def _likely(threshold: float, count: int) -> Callable:
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
                 ["doc_id", "n", "cls", "registers", "key", "text_hash"],
             )
 
-    sketched = checkpointed(source.mapInArrow(sketch, "doc_id bigint, n bigint, cls binary, registers binary, key bigint, text_hash bigint"))
+    sketched = checkpointed(source.mapInArrow(lean(sketch), "doc_id bigint, n bigint, cls binary, registers binary, key bigint, text_hash bigint"))
     one = F.max(F.struct("key", "text_hash"))
     classes = sketched.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), one.alias("one"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     classes = checkpointed(classes.select("cls", "rep", "rows", "one.key", "one.text_hash", "n", "registers").withColumn("c", F.monotonically_increasing_id()))
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
                 key = mixed(key + r[:, :, k], 200 + k)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), bands))], ["band", "c"])
 
-    banded = classes.select("c", "registers").mapInArrow(band, "band bigint, c bigint")
+    banded = classes.select("c", "registers").mapInArrow(lean(band), "band bigint, c bigint")
     candidates = _in_blocks(banded, "band", BLOCK, classes.select("c", "n", "registers"), ["c"])
     blobs = connected_components(_linked(candidates, "band", "registers", _likely(num / den, count)))
 

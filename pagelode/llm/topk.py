@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, lean, table
 from .vectors import finite, matrix
 
 #: Rows of a block of vectors and of a block of queries, and queries that are scored at a time; slices of the dimensions.
@@ -60,7 +60,7 @@ def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
                 data, width, small = _pack(np.floor(64 * matrix(part.column(1))))
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([data], pa.binary()), pa.array([width], pa.int32()), pa.array([small])], ["ids", "data", "width", "small"])
 
-    return vectors.mapInArrow(pack, "ids binary, data binary, width int, small boolean")
+    return vectors.mapInArrow(lean(pack), "ids binary, data binary, width int, small boolean")
 
 
 def _query_blocks(queries: DataFrame, n: int) -> DataFrame:
@@ -77,7 +77,7 @@ def _query_blocks(queries: DataFrame, n: int) -> DataFrame:
                 types = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["q", "qids", "qdata", "qwidth", "qsmall", "cutoffs"])
 
-    return queries.mapInArrow(pack, "q int, qids binary, qdata binary, qwidth int, qsmall boolean, cutoffs binary")
+    return queries.mapInArrow(lean(pack), "q int, qids binary, qdata binary, qwidth int, qsmall boolean, cutoffs binary")
 
 
 def _each(pairs: DataFrame, work, names: list[str], ddl: str) -> DataFrame:
@@ -93,7 +93,7 @@ def _each(pairs: DataFrame, work, names: list[str], ddl: str) -> DataFrame:
                     columns = work(qids[part], ids, _scores(queries[part], vectors), qids[part, None] == ids[None, :], cut[part])
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    return pairs.mapInArrow(run, ddl)
+    return pairs.mapInArrow(lean(run), ddl)
 
 
 def _largest(values: np.ndarray, k: int) -> np.ndarray:
