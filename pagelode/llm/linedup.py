@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sliced, table, texts, unused
+from .common import checkpointed, lean, maybe_among, sliced, table, texts, unused
 from .hashes import Words, mixed, odd
 
 #: Words in which a line has at least one cut.
@@ -18,7 +18,7 @@ WINDOW = 16
 #: Least words of a run of repeated units that is removed.
 LEAST_WORDS = 16
 
-_FIRST = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("more", pa.bool_())])
+_FIRST = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("times", pa.int32())])
 _UNITS = pa.schema([("row", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n", pa.int32()), ("whole", pa.bool_()), ("again", pa.bool_())])
 
 
@@ -83,16 +83,16 @@ def _distinct(text: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> tuple[np.ndar
 
 
 def _firsts(rows: DataFrame, window: int) -> DataFrame:
-    """(d1, d2, doc, row, more): the different units of each text; more: the text has it again."""
+    """(d1, d2, doc, row, times): the different units of each text; times is 2 if the text has it again, else 1."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             text, _, _, _, d1, d2, _ = _cut(texts(b), window)
             new, again = _distinct(text, d1, d2)
             at = pa.array(text[new])
-            yield pa.RecordBatch.from_arrays([pa.array(d1[new].view(np.int64)), pa.array(d2[new].view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(again[new])], schema=_FIRST)
+            yield pa.RecordBatch.from_arrays([pa.array(d1[new].view(np.int64)), pa.array(d2[new].view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(again[new].astype(np.int32) + 1)], schema=_FIRST)
 
-    return rows.mapInArrow(make, _ddl(_FIRST))
+    return rows.mapInArrow(lean(make), _ddl(_FIRST))
 
 
 def _units(rows: DataFrame, window: int) -> DataFrame:
@@ -105,7 +105,7 @@ def _units(rows: DataFrame, window: int) -> DataFrame:
             narrow = [pa.array(x.astype(np.int32)) for x in (number, start, stop, size)]
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(text)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *narrow, pa.array(whole), pa.array(~_distinct(text, d1, d2)[0])], schema=_UNITS)
 
-    return rows.mapInArrow(make, _ddl(_UNITS))
+    return rows.mapInArrow(lean(make), _ddl(_UNITS))
 
 
 def _row_of():
@@ -130,9 +130,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, least_words: int = LEA
 def _spans(docs: DataFrame, window: int, least_words: int, whole_lines: bool) -> DataFrame:
     """(row, spans) of repeated_spans, by _row_of()."""
     rows = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc"), _row_of().alias("row"), "text")
-    rank = F.struct("doc", "row")
-    first = _firsts(rows, window).groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.max("more").alias("more"))
-    first = checkpointed(first.where("first <> last or more").select("d1", "d2", F.col("first.row").alias("holder")))
+    first = _firsts(rows, window).groupBy("d1", "d2").agg(F.min(F.struct("doc", "row")).alias("first"), F.sum("times").alias("times"))
+    first = checkpointed(first.where("times > 1").select("d1", "d2", F.col("first.row").alias("holder")))
     own = _units(rows, window).join(first, ["d1", "d2"]).where("row <> holder or again").select("row", "unit", "start", "stop", "n", "whole").dropDuplicates(["row", "unit"])
     # Runs of neighbouring repeats, within one document.
     by = W.partitionBy("row").orderBy("unit")
@@ -157,13 +156,18 @@ def without_spans(text, spans):
 def dedup_passages(docs: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, whole_lines: bool = False) -> DataFrame:
     """docs with spans (empty without repeats) and kept_text, the text without its repeated passages.
 
-    A null text stays null; offsets in spans are those of the text as it was. All rows and other columns stay."""
-    spans = _spans(docs, window, least_words, whole_lines)
+    A null text stays null; offsets in spans are those of the text as it was. All rows and other columns stay. Rows without
+    repeats stay where they are; only the others are shuffled to meet their spans."""
+    spans = checkpointed(_spans(docs, window, least_words, whole_lines))
+    cut = maybe_among(spans.select("row"))
     none = F.array().cast("array<struct<start:int,stop:int,words:bigint>>")
     docs = docs.drop("spans", "kept_text")
     row = unused(docs.columns, "row")
-    joined = docs.withColumn(row, _row_of()).join(spans.withColumnRenamed("row", row), row, "left").drop(row)
-    return joined.withColumn("kept_text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("spans")))).withColumn("spans", F.coalesce("spans", none))
+    rows = docs.withColumn(row, _row_of())
+    joined = rows.where(cut(row)).join(spans.withColumnRenamed("row", row), row, "left")
+    kept = F.when(F.col("spans").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("spans")))
+    met = joined.withColumn("kept_text", kept).withColumn("spans", F.coalesce("spans", none))
+    return rows.where(~cut(row)).withColumns({"spans": none, "kept_text": F.col("text")}).unionByName(met).drop(row)
 
 
 def op6_linedup(spark, sf_dir: str) -> DataFrame:
