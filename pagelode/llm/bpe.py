@@ -16,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, frequent, sliced, table, texts
+from .common import checkpointed, frequent, lean, sliced, table, texts
 
 #: Most frequent chunks of the corpus whose words the lexicon holds.
 LEXICON_CHUNKS = 1 << 16
 #: Longest word, in bytes, that the lexicon holds.
 LEXICON_WORD = 64
-#: Chunks that a task remembers the ids of before it forgets all.
-REMEMBERED = 400_000
+#: Chunks that a task remembers the ids of; the half that it has not met since are forgotten when these are many.
+REMEMBERED = 200_000
+#: Different chunks that a task counts before it hands them on.
+COUNTED = 300_000
 #: Characters of these chunks, at most, before a text.
 REMEMBERED_CHARS = 1 << 24
 #: Longest word, in bytes, that is merged side by side with others.
@@ -159,11 +161,7 @@ class Bpe:
     _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_{_OTHER_NUMBERS}]+|[\d{_OTHER_NUMBERS}]|(?:[^\w\t-\r \x85\xa0]|_)+")
 
     def __init__(self, data: str, lexicon: bytes | None = None):
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_str(data)
-        whole.no_truncation()
-        whole.no_padding()
+        self.data, self.steps = data, None
         parsed = json.loads(data)
         model = parsed["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -177,14 +175,15 @@ class Bpe:
         self.pair_rank = np.array([self.ranks[p] for p in self.pair.tolist()], np.int32)
         self.added = {x["content"]: x["id"] for x in parsed["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        self.ones = {i: (str(i), t, 1) for i, t in self.token.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self.normalizer, self.pre = whole.normalizer, whole.pre_tokenizer
         self.letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
         self.lexicon = Lexicon.mapped(lexicon) if lexicon else None
         self.inner = [self.vocab[c] for c in self.letters]
         self.last = [self.vocab[c + self.end] for c in self.letters]
         self.chunks: dict[str, tuple[str, str, int]] = {}
+        self.earlier: dict[str, tuple[str, str, int]] = {}
         self.words: dict[bytes, tuple[str, str, int]] = {}
         self.held = 0
 
@@ -265,35 +264,38 @@ class Bpe:
                 heapq.heappush(heap, (r, i, parts[i], parts[k]))
         return [p for p in parts if p >= 0]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Makes the words known: by the lexicon if it has them, else by merging."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
-        ids = self.lexicon.get(new) if self.lexicon else [None] * len(new)
+    def learned(self, words: list[bytes]) -> dict[bytes, tuple[str, str, int]]:
+        """What the words are: by the lexicon if it has them, else by merging."""
+        ids = self.lexicon.get(words) if self.lexicon else [None] * len(words)
         rest = [k for k, x in enumerate(ids) if x is None]
-        for k, x in zip(rest, self.merge([new[k] for k in rest])):
+        for k, x in zip(rest, self.merge([words[k] for k in rest])):
             ids[k] = x
-        for w, x in zip(new, ids):
-            self.words[w] = self.known(x)
+        return {w: self.known(x) for w, x in zip(words, ids)}
 
     def joined(self, words: list[bytes]) -> tuple[str, str, int]:
-        """Of words that are known."""
-        if len(words) == 1:
-            return self.words[words[0]]
+        """Of words that are remembered."""
         found = [self.words[w] for w in words]
         return " ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum([x[2] for x in found])
 
     def plain_words(self, chunk: str) -> list[bytes]:
-        """Of a lower-cased chunk of a plain text."""
-        return [w.encode() for w in self._WORDS.findall(chunk)]
+        """Of a lower-cased chunk of a plain text; letters alone are one word."""
+        return [chunk.encode()] if chunk.isalpha() else [w.encode() for w in self._WORDS.findall(chunk)]
 
     def other_words(self, text: str) -> list[bytes]:
-        """Of any text, by the file's own steps."""
-        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        """Of any text, by the file's own steps, which are made when they are first needed."""
+        if not self.steps:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_str(self.data)
+            self.steps = whole.normalizer, whole.pre_tokenizer
+        normalizer, pre = self.steps
+        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in pre.pre_tokenize_str(normalizer.normalize_str(text))]
 
     def known(self, ids: list[int]) -> tuple[str, str, int]:
-        return " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)), len(ids)
+        if len(ids) == 1:
+            return self.ones[ids[0]]
+        one = [self.ones[i] for i in ids]
+        return " ".join([x[0] for x in one]), " ".join([x[1] for x in one]), len(ids)
 
     def encode(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """(decimal ids, token texts, how many) of each text, both joined by one space."""
@@ -313,57 +315,68 @@ class Bpe:
                     own.append(("chunks", c := piece.lower().split()))
                     chunks.update(c)
             pieces.append(own)
-        have = self.chunks
-        if len(have) > REMEMBERED or self.held > REMEMBERED_CHARS:
-            have.clear()
-            self.held = 0
-        new = {c: self.plain_words(c) for c in chunks.difference(have)}
-        for w in new.values():
+        if 2 * len(self.chunks) > REMEMBERED or self.held > REMEMBERED_CHARS:
+            self.earlier, self.chunks, self.held = self.chunks, {}, 0
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        have, earlier = self.chunks, self.earlier
+        new = chunks.difference(have)
+        have.update((c, earlier[c]) for c in new if c in earlier)
+        new.difference_update(have)
+        # Most chunks are one word, which is remembered as a chunk alone.
+        single = [c for c in new if c.isalpha()]
+        several = {c: self.plain_words(c) for c in new.difference(single)}
+        for w in several.values():
             words.update(w)
-        self.learn(words)
-        for c, w in new.items():
-            have[c] = self.joined(w)
-            self.held += len(c)
+        alone = [c.encode() for c in single]
+        got = self.learned([w for w in words.union(alone) if w not in self.words])
+        self.words.update((w, got[w]) for w in words if w in got)
+        for c, w in zip(single, alone):
+            have[c] = got.get(w) or self.words[w]
+        for c, ws in several.items():
+            have[c] = self.joined(ws)
+        self.held += sum(map(len, new))
         out = []
         for own in pieces:
             found: list[tuple[str, str, int]] = []
             for x in own:
                 if x[0] == "chunks":
-                    found += [have[c] for c in x[1]]
+                    found += map(have.__getitem__, x[1])
                 elif x[0] == "words":
                     found.append(self.joined(x[1]))
                 else:
                     found.append(x)
-            found = [x for x in found if x[2]]
-            if found:
-                ids, tokens, n = zip(*found)
-                out.append((" ".join(ids), " ".join(tokens), sum(n)))
-            else:
-                out.append(("", "", 0))
+            ids, tokens, n = zip(*found) if found else ((), (), ())
+            if 0 in n:
+                ids, tokens = ([x for x, k in zip(part, n) if k] for part in (ids, tokens))
+            out.append((" ".join(ids), " ".join(tokens), sum(n)))
         return out
 
 
 def frequent_chunks(docs: DataFrame, most: int = LEXICON_CHUNKS) -> list[str]:
     """The corpus's most frequent lower-cased chunks between white space, at most ``most`` short ones.
 
-    Every text is counted whole; counts are summed in each task before they are shuffled."""
+    Every text is counted whole; counts are summed in each task before they are shuffled. What a task has met once among
+    hundreds of thousands of chunks is not handed on: it is not frequent there. Which words the lexicon holds changes how fast others
+    are found, and no result."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], schema=_COUNTS)
+            again = [c for c, n in seen.items() if n > 1] or list(seen)
+            return pa.RecordBatch.from_arrays([pa.array(again, pa.string()), pa.array([seen[c] for c in again], pa.int64())], schema=_COUNTS)
 
         for b in sliced(batches):
             for t in texts(b):
                 seen.update(t.lower().split())
-            if len(seen) > REMEMBERED:
+            if len(seen) > COUNTED:
                 yield out()
                 seen.clear()
         if seen:
             yield out()
 
-    counts = docs.select("text").mapInArrow(count, "chunk string, n bigint").where(F.length("chunk") <= LEXICON_WORD).groupBy("chunk").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(lean(count), "chunk string, n bigint").where(F.length("chunk") <= LEXICON_WORD).groupBy("chunk").agg(F.sum("n").alias("n"))
     return [r[0] for r in frequent(checkpointed(counts), "n", most).select("chunk").collect()]
 
 
@@ -419,7 +432,7 @@ def encode_documents(docs: DataFrame, data: str | None = None, lexicon: bytes |
             yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", *outputs])
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["n_tokens bigint"] + [f"{n} {types.get(n, 'string')}" for n in outputs])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(encode, ddl)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(lean(encode), ddl)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
