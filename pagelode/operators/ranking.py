@@ -23,6 +23,13 @@ def saturation(freq: Column, length: Column, avgdl: Column, config: Config = DEF
     return freq * (config.k1 + 1) / (freq + config.k1 * (1 - config.b + config.b * length / mean))
 
 
+def summed(part: Column) -> Column:
+    """A sum in units of 2^-60, as two sums of whole numbers: the same in any order of rows, so that equal documents tie exactly."""
+    unit = float(1 << 30)
+    high = F.floor(part * unit)
+    return (F.sum(high) + F.sum(F.floor((part * unit - high) * unit)) / unit) / unit
+
+
 def query_postings(index: Index, terms: list[str]) -> DataFrame:
     """Postings of the terms alone; the literals are pushed to the scan and prune buckets."""
     return index.postings.where(F.col("term").isin(*terms))
@@ -56,8 +63,8 @@ def impacts(index: Index, config: Config = DEFAULT) -> DataFrame:
 def bm25(index: Index, terms: list[str], config: Config = DEFAULT) -> DataFrame:
     """(doc_id, bm25) of documents with any term. Stored impacts have the usual parameters."""
     if index.impacts is not None and config == DEFAULT:
-        return index.impacts.where(F.col("term").isin(*terms)).groupBy("doc_id").agg(F.sum("part").alias("bm25"))
-    return contributions(index, terms, config).groupBy("doc_id").agg(F.sum("part").alias("bm25"))
+        return index.impacts.where(F.col("term").isin(*terms)).groupBy("doc_id").agg(summed(F.col("part")).alias("bm25"))
+    return contributions(index, terms, config).groupBy("doc_id").agg(summed(F.col("part")).alias("bm25"))
 
 
 def bm25_of(index: Index, doc_ids: DataFrame, terms: list[str], config: Config = DEFAULT) -> DataFrame:
@@ -75,7 +82,7 @@ def fused(index: Index, terms: list[str], mode: str = "hybrid", config: Config =
 
     Scores are divided by their maxima over the matches, or by 1 if those are 0."""
     if index.impacts is not None and config == DEFAULT:
-        matched = index.impacts.where(F.col("term").isin(*terms)).groupBy("doc_id").agg(F.sum("part").alias("bm25"), F.first("pagerank").alias("pagerank"))
+        matched = index.impacts.where(F.col("term").isin(*terms)).groupBy("doc_id").agg(summed(F.col("part")).alias("bm25"), F.first("pagerank").alias("pagerank"))
     else:
         matched = bm25(index, terms, config).join(index.docs.select("doc_id", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank")), "doc_id", "left").fillna({"pagerank": 0.0})
     scored = matched.crossJoin(F.broadcast(_tops(matched)))

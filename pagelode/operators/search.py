@@ -59,13 +59,13 @@ def results_of_many(index: Index, queries: DataFrame, limit: int = 20, config: C
     Queries meet postings in a join on the term; maxima and ranks are per query."""
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     if index.impacts is not None and config == DEFAULT:
-        scored = asked.join(index.impacts, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("bm25"), F.first("pagerank").alias("pagerank"))
+        scored = asked.join(index.impacts, "term").groupBy("query_id", "doc_id").agg(ranking.summed(F.col("part")).alias("bm25"), F.first("pagerank").alias("pagerank"))
         return _best_of_each(scored, limit, config)
     figures = ranking.corpus(index.docs)
     known = index.df.crossJoin(F.broadcast(figures)).select("term", ranking.idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
     matched = asked.join(known, "term").join(index.postings.select("term", "doc_id", "freq"), "term").join(index.docs.select("doc_id", "length", "pagerank"), "doc_id")
     part = F.col("idf") * ranking.saturation(F.col("freq"), F.col("length"), F.col("avgdl"), config)
-    scored = matched.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"), F.first("pagerank").alias("pagerank"))
+    scored = matched.groupBy("query_id", "doc_id").agg(ranking.summed(part).alias("bm25"), F.first("pagerank").alias("pagerank"))
     return _best_of_each(scored, limit, config)
 
 
