@@ -79,6 +79,22 @@ def tokenize(text: Column, stemming: bool = True) -> Column:
     return stems(words(text)) if stemming else words(text)
 
 
+def runs(ordered: Column, of, key=lambda x: x["term"]) -> Column:
+    """of(array, first, n) for each run of n equal keys, from place first, in a sorted array: groups of one row, in time with its length."""
+
+    def found(a):
+        places = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a))).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: ~key(F.get(a, i - 1)).eqNullSafe(key(F.get(a, i - 2))))
+        return bound(starts, lambda s: F.transform(s, lambda first, k: of(a, first, F.coalesce(F.get(s, k + 1), F.size(a) + 1) - first)))
+
+    return bound(ordered, found)
+
+
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def plain_words(text: Column) -> Column:
     """Maximal runs of letters, digits and underscores, lower-cased."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pagelode.functions import text
 
+from .index import apart
+
 
 def out_degrees(links: DataFrame) -> DataFrame:
     return links.groupBy("from_doc_id").agg(F.count("*").alias("out_degree"))
@@ -41,9 +43,17 @@ def keywords(documents: DataFrame, n: int = 20) -> DataFrame:
 
 
 def term_positions(documents: DataFrame) -> DataFrame:
-    """(doc_id, term, positions): places of each plain word, from 0."""
-    rows = documents.select("doc_id", F.posexplode(text.plain_words(F.col("text"))).alias("pos", "term"))
-    return rows.groupBy("doc_id", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(doc_id, term, positions): places of each plain word, from 0.
+
+    Made within each row, without a shuffle; rows that share a doc_id are one document and meet by (doc_id, term)."""
+    once, shared = apart(documents)
+    ordered = F.sort_array(F.transform(text.plain_words(F.col("text")), lambda t, pos: F.struct(t.alias("term"), pos.alias("pos"))))
+    found = text.runs(ordered, lambda a, first, n: F.struct(F.get(a, first - 1)["term"].alias("term"), F.transform(F.slice(a, first, n), lambda x: x["pos"]).alias("positions")))
+    out = once.select("doc_id", F.explode(found).alias("p")).select("doc_id", "p.term", "p.positions")
+    if shared is None:
+        return out
+    rows = shared.select("doc_id", F.posexplode(text.plain_words(F.col("text"))).alias("pos", "term"))
+    return out.union(rows.groupBy("doc_id", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions")))
 
 
 def term_counts(tokens: DataFrame, weight: float = 1.0) -> DataFrame:

@@ -150,7 +150,7 @@ def term_positions(spark, d):
 
 @query
 def term_counts(spark, d):
-    return graph.term_counts(ix.tokens(ix.fields_of_pages(_pages(spark, d))), 5.0)
+    return ix.counts_of_pages(_pages(spark, d)).select("doc_id", "term", (F.col("n") * F.lit(5.0)).alias("weighted"))
 
 
 # Index
@@ -158,30 +158,30 @@ def term_counts(spark, d):
 
 @query
 def postings_weighted(spark, d):
-    posted = ix.postings(ix.tokens(ix.fields_of_pages(_pages(spark, d))))
+    posted = ix.postings_of_pages(_pages(spark, d))
     return posted.select("term", "doc_id", "freq", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"), F.array_join("fields", ",").alias("fields"))
 
 
 @query
 def doc_lengths(spark, d):
-    return ix.lengths(ix.fields_of_pages(_pages(spark, d)))
+    return ix.lengths_of_pages(_pages(spark, d)).select("doc_id", "length")
 
 
 @query
 def doc_frequency(spark, d):
-    return ix.document_frequencies(ix.frequencies(ix.tokens(ix.fields_of_pages(_pages(spark, d)))))
+    return ix.document_frequencies_of_pages(_pages(spark, d))
 
 
 @query
 def index_stats(spark, d):
     i = _index(spark, d)
-    return ix.index_stats(i.postings, i.docs).withColumns({c: F.round(c, 6) for c in ("avg_doc_length", "avg_terms_per_doc")})
+    return ix.index_stats(i.postings, i.docs, i.df).withColumns({c: F.round(c, 6) for c in ("avg_doc_length", "avg_terms_per_doc")})
 
 
 @query
 def corpus_stats(spark, d):
-    fields = ix.fields_of_texts(src.table(spark, d, "documents"))
-    return ix.index_stats(ix.frequencies(ix.tokens(fields)), ix.lengths(fields)).withColumns({c: F.round(c, 6) for c in ("avg_doc_length", "avg_terms_per_doc")})
+    documents = src.table(spark, d, "documents")
+    return ix.index_stats(None, ix.lengths(ix.fields_of_texts(documents)), ix.document_frequencies_of_texts(documents)).withColumns({c: F.round(c, 6) for c in ("avg_doc_length", "avg_terms_per_doc")})
 
 
 @query
@@ -328,7 +328,7 @@ def query_intent(spark, d):
 
 
 def _spelling(spark, d):
-    known = spell.dictionary(ix.document_frequencies(ix.frequencies(ix.tokens(ix.fields_of_texts(src.table(spark, d, "documents"))))))
+    known = spell.dictionary(ix.document_frequencies_of_texts(src.table(spark, d, "documents")))
     return spark.createDataFrame([(w,) for w in WORDS], "word string"), known
 
 
@@ -403,7 +403,7 @@ def frontier_new_links(spark, d):
 @query
 def engine_stats(spark, d):
     i = _index(spark, d)
-    stats = ix.index_stats(i.postings, i.docs).select("total_docs", "vocabulary_size", "total_postings")
+    stats = ix.index_stats(i.postings, i.docs, i.df).select("total_docs", "vocabulary_size", "total_postings")
     return graph.engine_stats(stats, _pages(spark, d), _links(spark, d)).select("total_docs", "vocabulary_size", "total_postings", "pages", "total_links", "linking_pages", "linked_documents")
 
 

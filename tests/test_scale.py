@@ -1,6 +1,11 @@
 """What holds however large the tables are: ties, work in rows, and steps that read their input once."""
 
-from pagelode.operators import search
+import re
+
+from pyspark.sql import functions as F
+
+from pagelode.operators import graph, search
+from pagelode.operators import index as ix
 from pagelode.operators.index import Index
 
 
@@ -13,3 +18,38 @@ def test_equal_documents_tie_in_any_order(spark):
     got = search.results_of_many(Index(impacts, impacts, impacts, impacts), asked, 8).collect()
     assert len({r["bm25"] for r in got}) == 1 and abs(got[0]["bm25"] - sum(parts)) < 1e-12
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"])] == [f"d{k}" for k in range(8)]
+
+
+def _moved(frame) -> list[str]:
+    """Keys of a plan's exchanges."""
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", frame._jdf.queryExecution().executedPlan().toString())
+
+
+def test_postings_are_made_within_rows(spark):
+    """No token is shuffled: positions, postings and counts of a page or text need no exchange at all."""
+    rows = [("a", "http://x/one", "One title", "words and words of one page", []), ("b", "http://x/two", None, None, None), ("c", "", "", "", [])]
+    pages = spark.createDataFrame(rows, "doc_id string, url string, title string, text string, headings array<struct<tag:string,text:string>>")
+    plain = ix.postings(ix.tokens(ix.fields_of_pages(pages)))
+    mine = Index.of_pages(pages)
+    assert _moved(plain) and not _moved(mine.postings) and not _moved(ix.counts_of_pages(pages)) and not _moved(mine.docs)
+    show = lambda f, *c: sorted(map(str, f.select(*c).collect()))
+    columns = ("term", "doc_id", "freq", "positions", "fields")
+    assert show(mine.postings, *columns) == show(plain, *columns)
+    assert show(mine.df, "term", "df") == show(ix.document_frequencies(plain), "term", "df")
+    assert show(ix.counts_of_pages(pages), "doc_id", "term", "n") == show(ix.tokens(ix.fields_of_pages(pages)).groupBy("doc_id", "term").agg(F.count("*").alias("n")), "doc_id", "term", "n")
+    assert show(mine.docs, "doc_id", "length") == show(ix.lengths(ix.fields_of_pages(pages)), "doc_id", "length")
+
+
+def test_texts_are_counted_within_rows(spark):
+    texts = [(1, "One running two runs one"), (2, ""), (3, None), (4, "two"), (None, "alone")]
+    once = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert not _moved(graph.term_positions(once)) and len(_moved(ix.document_frequencies_of_texts(once))) == 1
+    for rows in (texts, [*texts, (1, "two one"), (None, "alone again")]):
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+        want = ix.document_frequencies(ix.frequencies(ix.tokens(ix.fields_of_texts(frame))))
+        assert sorted(map(tuple, ix.document_frequencies_of_texts(frame).collect())) == sorted(map(tuple, want.collect()))
+        places = {}
+        for doc_id, text in rows:
+            for k, word in enumerate((text or "").lower().split()):
+                places.setdefault((doc_id, word), []).append(k)
+        assert {(r["doc_id"], r["term"]): r["positions"] for r in graph.term_positions(frame).collect()} == {k: sorted(v) for k, v in places.items()}
