@@ -2,9 +2,10 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from pagelode.operators import graph, search
+from pagelode.operators import graph, pagerank, search
 from pagelode.operators import index as ix
 from pagelode.operators.index import Index
 
@@ -53,3 +54,25 @@ def test_texts_are_counted_within_rows(spark):
             for k, word in enumerate((text or "").lower().split()):
                 places.setdefault((doc_id, word), []).append(k)
         assert {(r["doc_id"], r["term"]): r["positions"] for r in graph.term_positions(frame).collect()} == {k: sorted(v) for k, v in places.items()}
+
+
+def test_ranks_read_their_edges_once(spark):
+    """Edges may be parsed from pages: they are read once, and ranks with a fixed number of steps are those of brute force."""
+    read = spark.sparkContext.accumulator(0)
+    edges = [("a", "b"), ("a", "b"), ("a", "x"), ("b", "a"), ("b", "y"), *[("a", f"z{k}") for k in range(9)]]
+
+    def counted(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    frame = spark.createDataFrame(edges, "src string, dst string").mapInPandas(counted, "src string, dst string")
+    nodes = sorted({v for e in edges for v in e})
+    out = {v: [b for a, b in edges if a == v] for v in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(3):
+        lost = sum(rank[v] for v in nodes if not out[v])
+        rank = {v: (0.15 + 0.85 * lost) / len(nodes) + 0.85 * sum(rank[a] / len(out[a]) for a, b in edges if b == v) for v in nodes}
+    got = {r["doc_id"]: r["rank"] for r in pagerank.pagerank(frame, iterations=3).collect()}
+    assert got == {v: pytest.approx(x, abs=1e-12) for v, x in rank.items()}
+    assert read.value == len(edges)
